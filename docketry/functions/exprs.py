@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -38,8 +39,13 @@ def if_else(condition: Column, yes: Column, no: Column) -> Column:
 
 
 def matches(value: ColumnLike, pattern: str) -> Column:
-    """True where the regular expression is found; false, not missing, on missing text."""
-    return F.coalesce(_col(value).rlike(pattern), F.lit(False))
+    """True where the regular expression is found; false, not missing, on missing text.
+
+    A pattern without special characters is a plain substring search, which is much cheaper.
+    """
+    plain = re.escape(pattern) == pattern
+    found = _col(value).contains(pattern) if plain else _col(value).rlike(pattern)
+    return F.coalesce(found, F.lit(False))
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -48,25 +54,38 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 
 def matches_any(
-    value: ColumnLike, patterns: Iterable[str], mode: str = "regex", per_expression: int = 200
+    value: ColumnLike,
+    patterns: Iterable[str],
+    mode: str = "regex",
+    few: int = 8,
+    per_expression: int = 200,
 ) -> Column:
     """True where one of the patterns is found in the value.
 
     mode "regex" reads each pattern as a regular expression, "literal" as plain text. No
-    patterns match nothing. Long lists are cut into several alternations.
+    patterns match nothing. A few patterns are tried one by one, more are put together in
+    alternations.
     """
     if mode not in ("regex", "literal"):
         raise ValueError(f"unknown match mode: {mode}")
+    patterns = list(patterns)
+    if len(patterns) <= few:
+        if mode == "literal":
+            return any_of(F.coalesce(_col(value).contains(p), F.lit(False)) for p in patterns)
+        return any_of(matches(value, p) for p in patterns)
     if mode == "literal":
-        patterns = ["\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in patterns]
-    else:
-        patterns = list(patterns)
+        patterns = [quote(p) for p in patterns]
     return any_of(
         matches(value, "|".join(patterns[i : i + per_expression]))
         for i in range(0, len(patterns), per_expression)
     )
 
 
+def quote(text: str) -> str:
+    """Regular expression that finds the text as it stands."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def age_group(age: ColumnLike) -> Column:
     """Age band; ages up to 10, from 91 and missing ones share one band."""
     age = _col(age)

@@ -22,7 +22,7 @@ from docketry.constants import (
     THREAT_PATTERN,
     TRESPASS_PATTERN,
 )
-from docketry.functions.exprs import distinct_count, matches, matches_any, missing_share, ratio, share
+from docketry.functions.exprs import matches, matches_any, missing_share, ratio, share
 from docketry.operators.frequency import freq_table, rank_range, ranking, top_k, top_k_of_top_m
 from docketry.operators.rollup import (
     entity_count_and_share,
@@ -122,10 +122,26 @@ def low_level_results(t: ChargeTables) -> DataFrame:
     return freq_table(t.charges.filter("low_level"), "result_description")
 
 
+def results_within_level(t: ChargeTables) -> DataFrame:
+    """All results of each charge level, as percent of the level's charges."""
+    return freq_table(t.charges, "result_description", within=["charge_level"])
+
+
 def dismissed_within_level(t: ChargeTables) -> DataFrame:
     """Per charge level, the percent of its charges that were dismissed."""
-    results = freq_table(t.charges, "result_description", within=["charge_level"], sort=False)
-    return results.filter(has_result(DISMISSED)).orderBy(*ranking("n", ["charge_level"]))
+    levels = t.charges.groupBy("charge_level").agg(
+        F.count_if(has_result(DISMISSED)).alias("n"), _rows().alias("rows")
+    )
+    return (
+        levels.filter("n > 0")
+        .select(
+            "charge_level",
+            F.lit(DISMISSED).alias("result_description"),
+            "n",
+            (ratio(F.col("n"), F.col("rows")) * 100).alias("pct"),
+        )
+        .orderBy(*ranking("n", ["charge_level"]))
+    )
 
 
 # Offences
@@ -139,10 +155,10 @@ def offence_freq(t: ChargeTables, condition: Column | None = None) -> DataFrame:
 
 def top_low_level(t: ChargeTables, k: int = 10) -> DataFrame:
     """The most frequent low-level offences, as percent of all charges."""
-    by_key = t.charges.groupBy("key").agg(F.count_if("low_level").alias("n"), _rows().alias("rows"))
-    total = by_key.agg(F.sum("rows")).scalar()
-    listed = by_key.filter("n > 0").withColumn("pct_chrgs", ratio(F.col("n"), total) * 100)
-    return top_k(t.describe(listed).select(OFFENCE, "n", "pct_chrgs"), k, "n", [OFFENCE])
+    counts = t.charges.filter("low_level").groupBy("key").agg(_rows().alias("n"))
+    percent = ratio(F.col("n"), charge_count(t).scalar()) * 100
+    listed = t.describe(counts).select(OFFENCE, "n", percent.alias("pct_chrgs"))
+    return top_k(listed, k, "n", [OFFENCE])
 
 
 def top_misdemeanors(t: ChargeTables, k: int = 3) -> DataFrame:
@@ -219,14 +235,10 @@ def person_count(t: ChargeTables) -> DataFrame:
     return t.persons.agg(_rows().alias("n"))
 
 
-def _persons_before_removal(t: ChargeTables) -> Column:
-    return t.all_charges.agg(distinct_count("person_id")).scalar()
-
-
 def any_diverted_persons_of_all(t: ChargeTables) -> DataFrame:
     """Persons with a diverted charge, over the persons before superseded rows were removed."""
     diverted = t.persons.agg(F.count_if(F.col("diverted") > 0).alias("diverted_persons"))
-    return diverted.select(ratio(F.col("diverted_persons"), _persons_before_removal(t)).alias("share"))
+    return diverted.select(ratio(F.col("diverted_persons"), t.persons_before_removal.scalar()).alias("share"))
 
 
 def one_diverted_persons(t: ChargeTables) -> DataFrame:
@@ -235,7 +247,7 @@ def one_diverted_persons(t: ChargeTables) -> DataFrame:
         F.count_if(F.col("diverted") == 1).alias("one_diverted"),
         F.count_if(F.col("diverted") == F.col("num_charges")).alias("all_diverted"),
     )
-    persons = _persons_before_removal(t)
+    persons = t.persons_before_removal.scalar()
     return counts.select(
         "one_diverted",
         ratio(F.col("one_diverted"), persons).alias("one_diverted_share"),

@@ -88,19 +88,20 @@ def add_keys(df: DataFrame) -> DataFrame:
     """Add charge, person and case ids, bands and readable texts.
 
     All of it is computed from columns of the same row, so it is added on reading and Spark
-    drops what an analysis does not use. Ids take the digit of the part tag before the tag is
-    replaced by the part's name.
+    drops what an analysis does not use. The last step replaces the part tag, the ids beside
+    it still see the old one.
     """
-    return (
-        add_code_keys(df)
-        .withColumn("minor_zip_code", F.substring("minor_zip_code", 1, 5))
-        .withColumn("age_group", age_group("age_at_time_of_crime"))
-        .withColumn("charge_id", charge_id())
-        .withColumn("person_id", paste(part_digit(), "masked_case_no", "defendant_no"))
-        .withColumn("case_id", paste(part_digit(), "masked_case_no"))
-        .withColumn("data_part", recode("data_part", PART_NAMES))
-        .withColumn("plea_description", recode("plea", PLEA_TEXTS))
-        .withColumn("key", paste("code_section", "charge_level"))
+    return add_code_keys(df).withColumns(
+        {
+            "minor_zip_code": F.substring("minor_zip_code", 1, 5),
+            "age_group": age_group("age_at_time_of_crime"),
+            "charge_id": charge_id(),
+            "person_id": paste(part_digit(), "masked_case_no", "defendant_no"),
+            "case_id": paste(part_digit(), "masked_case_no"),
+            "data_part": recode("data_part", PART_NAMES),
+            "plea_description": recode("plea", PLEA_TEXTS),
+            "key": paste("code_section", "charge_level"),
+        }
     )
 
 
@@ -145,11 +146,9 @@ def build_charges(
     stored = materialise(tagged.hint("rebalance", *layout), "charges", layout)
 
     identified = stored.withColumn("charge_id", charge_id())
+    superseded = superseded_keys(identified, "charge_id", F.col("interim"))
     surviving = surviving_interim_rows(
-        identified.filter("interim"),
-        superseded_keys(identified, "charge_id", F.col("interim")),
-        "charge_id",
-        keep_one_if_all_superseded,
+        identified.filter("interim"), superseded, "charge_id", keep_one_if_all_superseded
     )
     surviving = materialise(surviving.select(*stored.columns), "surviving")
     return ChargeTables(

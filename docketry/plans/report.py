@@ -21,6 +21,7 @@ ANALYSES: dict[str, Callable[[ChargeTables], DataFrame]] = {
     "top10_low_level": a.top_low_level,
     "share_dismissed": a.share_dismissed,
     "share_diverted": a.share_diverted,
+    "results_within_level": a.results_within_level,
     "dismissed_within_level": a.dismissed_within_level,
     "all_dismissed_persons": a.all_dismissed_persons,
     "half_dismissed_persons": a.half_dismissed_persons,

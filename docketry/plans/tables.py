@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.constants import DISMISSED, DIVERSION
-from docketry.functions.exprs import if_else, ratio, strict_sum
+from docketry.functions.exprs import distinct_count, if_else, ratio, strict_sum
 from docketry.operators.dictionary import describe
 from docketry.operators.rollup import entity_rollup, first_per_group
 from docketry.schemas import CHARGE_FACT_COLUMNS
@@ -52,6 +52,12 @@ class ChargeTables:
             first_per_group(self.charges, ["case_id"], "row_order", "case_level"), "cases"
         )
 
+    @cached_property
+    def persons_before_removal(self) -> DataFrame:
+        """One row: the number of persons before superseded rows were removed."""
+        count = self.all_charges.agg(distinct_count("person_id").alias("persons"))
+        return materialise(count, "person_count")
+
     def fact(self) -> DataFrame:
         """The cleaned charges with all columns of the fact table that the data has."""
         described = self.describe(self.charges)

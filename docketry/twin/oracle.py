@@ -113,7 +113,7 @@ case_firsts as (
   where rn = 1)
 """
 
-_LOW_TOTALS = "(select count(*) from charges)"
+_TOTAL = "(select count(*) from charges)"
 
 _DECLINABLE_CODE = """(contains(code_section, 'PROMO_1') or contains(code_section, 'LARGE_0')
   or contains(code_section, 'SMALL_3') or code_section_m_f = 'M_ECONOMY_4(A)')"""
@@ -213,9 +213,12 @@ from charges""",
     "results_top6": _freq("result_description")
     + " order by n desc, result_description nulls last limit 6",
     "top10_low_level": f"""select offense_description, count(*) as n,
-  count(*) / {_LOW_TOTALS} * 100 as pct_chrgs
+  count(*) / {_TOTAL} * 100 as pct_chrgs
 from described where low_level group by offense_description
 order by n desc, offense_description limit 10""",
+    "results_within_level": """select charge_level, result_description, count(*) as n,
+  count(*) / sum(count(*)) over (partition by charge_level) * 100 as pct
+from charges group by charge_level, result_description""",
     "dismissed_within_level": """select * from (
   select charge_level, result_description, count(*) as n,
     count(*) / sum(count(*)) over (partition by charge_level) * 100 as pct
@@ -269,7 +272,7 @@ where rn between 22 and 23""",
     "text_match_count": """select count(*) as n from described
 where regexp_matches(offense_description, 'ring')""",
     "declinable_total": f"""select count(*) as num_charges,
-  count(*) / {_LOW_TOTALS} as pct_of_all_charges
+  count(*) / {_TOTAL} as pct_of_all_charges
 from charges where charge_level <> 'F' and {_DECLINABLE_CODE}""",
     "declinable_results": _freq(
         "result_description", where=f"charge_level <> 'F' and {_DECLINABLE_CODE}"
