@@ -14,6 +14,16 @@ from docketry.store import materialise
 ORIGIN = ("_part_no", "_file", "_block")
 
 
+def with_sorted_row_ids(df: DataFrame, *order: str, text_id: str = "unique_id") -> DataFrame:
+    """Number rows 1..n in the order of the given columns.
+
+    The sort spreads rows over ranges of the whole sort key, so neither a single task nor one
+    heavy first key sees all rows; the ranges are then numbered like file splits.
+    """
+    ranges = df.orderBy(*order).withColumn("_range", F.spark_partition_id())
+    return with_row_ids(ranges, ["_range"], text_id)
+
+
 def with_row_ids(df: DataFrame, origin: Sequence[str] = ORIGIN, text_id: str = "unique_id") -> DataFrame:
     """Number rows 1..n in the order of parts, files and lines; add the zero-padded text id.
 

@@ -330,6 +330,9 @@ from diverted_offences""",
   case when part_tag = 'part1' then null else charge_city end as charge_city,
   full_zip as minor_zip_code, cast(null as varchar) as case_category_description
 from all_charges""",
+    "row_ids": f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, charge_id, rn as row_order,
+  printf('%06d', rn) as unique_id
+from (select *, row_number() over (order by {_ORDER}) as rn from all_charges)""",
     "composite_ids": """select code_section, code_section_m_f, charge_id, person_id, case_id,
   minor_zip_code from all_charges""",
     "entity_counts": """select count(distinct person_id) as persons, count(distinct case_id) as cases,

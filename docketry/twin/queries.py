@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions.exprs import distinct_count
 from docketry.operators.dictionary import code_table_keys, merge_texts
 from docketry.operators.frequency import freq_table
+from docketry.operators.ordinal import with_sorted_row_ids
 from docketry.operators.rules import exact_tag, rule_tag
 from docketry.operators.superseded import drop_superseded
 from docketry.plans import analyses as a
@@ -60,6 +61,15 @@ def union_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack_parts(parts, columns)
 
 
+ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+
+
+def row_ids(t: ChargeTables) -> DataFrame:
+    """All charges numbered in their order, with the zero-padded text id."""
+    rows = t.all_charges.select("row_order.*", "charge_id")
+    return with_sorted_row_ids(rows, *ORDER).drop("l_shipdate", "l_extendedprice")
+
+
 def composite_ids(t: ChargeTables) -> DataFrame:
     return t.all_charges.select(
         "code_section", "code_section_m_f", "charge_id", "person_id", "case_id", "minor_zip_code"
@@ -110,7 +120,7 @@ def enriched_descriptions(t: ChargeTables) -> DataFrame:
 
 
 def remaining_rows(t: ChargeTables) -> DataFrame:
-    order = [F.col(f"row_order.{c}") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    order = [F.col(f"row_order.{c}") for c in ORDER[:4]]
     return t.charges.select(*order, "charge_id", "result_description")
 
 
@@ -120,13 +130,14 @@ def remaining_rows_keep_one(t: ChargeTables) -> DataFrame:
     rows = drop_superseded(
         t.all_charges.select(*columns), "charge_id", is_interim(), keep_one_if_all_superseded=True
     )
-    order = [F.col(f"row_order.{c}") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    order = [F.col(f"row_order.{c}") for c in ORDER[:4]]
     return rows.select(*order, "charge_id", "result_description")
 
 
 QUERIES: dict[str, Query] = {
     **{name: _over_tables(analysis) for name, analysis in {**ANALYSES, **TWIN_ANALYSES}.items()},
     "union_parts": union_parts,
+    "row_ids": _over_tables(row_ids),
     "composite_ids": _over_tables(composite_ids),
     "entity_counts": _over_tables(entity_counts),
     "age_bands": _over_tables(age_bands),
