@@ -26,7 +26,6 @@ from docketry.functions.exprs import matches, matches_any, missing_share, ratio,
 from docketry.operators.frequency import freq_table, rank_range, ranking, top_k, top_k_of_top_m
 from docketry.operators.rollup import (
     entity_count_and_share,
-    first_per_group,
     ordered_distinct_text,
     share_within_entity,
 )
@@ -231,8 +230,10 @@ def any_diverted_persons(t: ChargeTables) -> DataFrame:
     )
 
 
-def person_count(t: ChargeTables) -> DataFrame:
-    return t.persons.agg(_rows().alias("n"))
+def person_counts(t: ChargeTables) -> DataFrame:
+    """Persons before and after superseded rows were removed."""
+    before = t.persons_before_removal.scalar()
+    return t.persons.agg(_rows().alias("persons")).withColumn("persons_before_removal", before)
 
 
 def any_diverted_persons_of_all(t: ChargeTables) -> DataFrame:
@@ -267,8 +268,7 @@ def misdemeanor_cases(t: ChargeTables) -> DataFrame:
 
 def misdemeanor_defendants(t: ChargeTables) -> DataFrame:
     """Defendants, within their case, whose first row belongs to a misdemeanor case."""
-    firsts = first_per_group(t.charges, ["case_id", "defendant_no"], "row_order", "case_level")
-    return firsts.agg(F.count_if(F.col("case_level") == "M").alias("n"))
+    return t.defendants.agg(F.count_if(F.col("case_level") == "M").alias("n"))
 
 
 def target_share_distribution(

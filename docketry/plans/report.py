@@ -45,6 +45,7 @@ ANALYSES: dict[str, Callable[[ChargeTables], DataFrame]] = {
     "low_level_freq": a.low_level_freq,
     "low_level_results": a.low_level_results,
     "folded_results": figures.outcomes,
+    "person_counts": a.person_counts,
     "any_diverted_persons": a.any_diverted_persons,
     "any_diverted_persons_pre_dedup": a.any_diverted_persons_of_all,
     "one_diverted_persons": a.one_diverted_persons,

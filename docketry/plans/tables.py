@@ -30,26 +30,43 @@ class ChargeTables:
         return describe(df, self.texts)
 
     @cached_property
-    def persons(self) -> DataFrame:
-        """One row per person: charges, diverted and dismissed ones, and the dismissed share.
+    def defendants(self) -> DataFrame:
+        """One row per defendant of a case: counts, and the level and place of the first row.
 
-        A person with a charge without result has no dismissed share.
+        The only roll-up that reads the charges; persons and cases are rolled up from it.
         """
         dismissed = if_else(F.col("result_description") == DISMISSED, F.lit(1), F.lit(0))
         rollup = entity_rollup(
             self.charges,
+            "case_id",
+            "defendant_no",
             "person_id",
             diverted=F.count_if(F.col("result_description") == DIVERSION),
             dismissed=strict_sum(dismissed),
+            first_row=F.min("row_order"),
+            case_level=F.min_by("case_level", "row_order"),
+        )
+        return materialise(rollup, "defendants")
+
+    @cached_property
+    def persons(self) -> DataFrame:
+        """One row per person: charges, diverted and dismissed ones, and the dismissed share.
+
+        A person with a charge without result has no dismissed share.
+        """
+        persons = self.defendants.groupBy("person_id").agg(
+            F.sum("num_charges").alias("num_charges"),
+            F.sum("diverted").alias("diverted"),
+            strict_sum("dismissed").alias("dismissed"),
         )
-        persons = rollup.withColumn("pct_dismissed", ratio(F.col("dismissed"), F.col("num_charges")))
-        return materialise(persons, "persons")
+        share = ratio(F.col("dismissed"), F.col("num_charges"))
+        return materialise(persons.withColumn("pct_dismissed", share), "persons")
 
     @cached_property
     def cases(self) -> DataFrame:
         """One row per case with the level of its first row."""
         return materialise(
-            first_per_group(self.charges, ["case_id"], "row_order", "case_level"), "cases"
+            first_per_group(self.defendants, ["case_id"], "first_row", "case_level"), "cases"
         )
 
     @cached_property

@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 
 from docketry.schemas import CHARGE_PART, CODE_LIST, CODE_TABLE, RULE_COLUMNS
 
-# Blanks around list entries would end up inside the codes they are compared with.
-_TRIMMED = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+# Blanks around list entries would end up inside the codes they are compared with; a quote
+# inside a quoted cell is doubled.
+_CSV = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "escape": '"'}
+
+# In lists and in the code table the text NA stands for a missing value, as an empty cell does.
+_LIST = {**_CSV, "nullValue": "NA"}
+
+# Header characters that are spelled out or dropped.
+HEADER_SIGNS = {"'": "", '"': "", "%": "_percent_", "#": "_number_"}
 
 
 def snake_case(name: str) -> str:
     """Header text as a column name: "Masked Case No." becomes masked_case_no."""
-    words = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
-    return re.sub(r"[^0-9A-Za-z]+", "_", words).strip("_").lower()
+    for sign, word in HEADER_SIGNS.items():
+        name = name.replace(sign, word)
+    words = re.sub(r"([a-z0-9])([A-Z])|([A-Z])(?=[A-Z][a-z])", r"\1\3_\2", name)
+    snake = re.sub(r"[^0-9A-Za-z]+", "_", words).strip("_").lower()
+    return f"x{snake}" if not snake or snake[0].isdigit() else snake
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -25,7 +35,7 @@ def clean_names(df: DataFrame) -> DataFrame:
     seen: dict[str, int] = {}
     names = []
     for column in df.columns:
-        name = snake_case(column) or "x"
+        name = snake_case(column)
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
     return df.toDF(*names)
@@ -38,7 +48,7 @@ def read_part(spark: SparkSession, path: str, tag: str, fmt: str = "csv", **opti
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, **_TRIMMED)
+        reader = reader.options(header=True, **_CSV)
     df = reader.options(**options).load(path)
     origin = df.select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
     part = clean_names(origin).withColumnsRenamed({"file_path": "_file", "file_block_start": "_block"})
@@ -60,17 +70,17 @@ def read_parts(
 
 def read_code_list(spark: SparkSession, path: str) -> DataFrame:
     """Read a one-column list of codes with a header line."""
-    return spark.read.options(header=True, **_TRIMMED).schema(CODE_LIST).csv(path)
+    return spark.read.options(header=True, **_LIST).schema(CODE_LIST).csv(path)
 
 
 def read_listed_codes(spark: SparkSession, path: str, column: str = "code_section") -> DataFrame:
     """Read one column of a list file with any number of columns."""
-    return clean_names(spark.read.options(header=True, **_TRIMMED).csv(path)).select(column)
+    return clean_names(spark.read.options(header=True, **_LIST).csv(path)).select(column)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Read a rule list: headers snake-cased, unnamed columns dropped, blanks in codes as "_"."""
-    rules = clean_names(spark.read.options(header=True, **_TRIMMED).csv(path))
+    rules = clean_names(spark.read.options(header=True, **_LIST).csv(path))
     return rules.select(*[c for c in RULE_COLUMNS if c in rules.columns]).withColumn(
         "charge", F.replace("charge", F.lit(" "), F.lit("_"))
     )
@@ -78,7 +88,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_code_table(spark: SparkSession, path: str) -> DataFrame:
     """Read the headerless code table; `row_order` keeps the order of its lines."""
-    table = spark.read.schema(CODE_TABLE).csv(path)
+    table = spark.read.options(**_LIST).schema(CODE_TABLE).csv(path)
     origin = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),

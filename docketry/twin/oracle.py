@@ -335,8 +335,10 @@ from all_charges""",
 from (select *, row_number() over (order by {_ORDER}) as rn from all_charges)""",
     "composite_ids": """select code_section, code_section_m_f, charge_id, person_id, case_id,
   minor_zip_code from all_charges""",
-    "entity_counts": """select count(distinct person_id) as persons, count(distinct case_id) as cases,
-  count(distinct charge_id) as charge_ids,
+    "person_counts": """select count(distinct person_id) as persons,
+  (select count(distinct person_id) from all_charges) as persons_before_removal
+from charges""",
+    "distinct_codes": """select
   count(distinct code) + max(case when code is null then 1 else 0 end) as codes
 from all_charges""",
     "age_bands": _freq("age_at_time_of_crime, age_group", "all_charges"),

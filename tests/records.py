@@ -78,7 +78,7 @@ RULE_LIST = [
     "HS 11364,Include,Main statute,possession of paraphernalia,Partial,",
     'PC 602,Include,Main statute,"Trespass, all kinds",Partial,',
     "PC 602(M),Exclude,Subsection,,Partial,",
-    "PC 647 ,Include,Main statute,,Partial,",
+    'PC 647 ,Include,Main statute,"Many kinds of ""disorderly"" conduct, and so on",Partial,',
     "PC 647.6,Exclude,Subsection,,Partial,",
     "PC 594 ,Include,Main statute,,Exact,",
     "PC 594(A),Include,Subsection,,Exact,",
@@ -97,7 +97,7 @@ CODE_TABLE = [
     "2,0,0,F,422 ,PC,CRIMINAL THREATS,x",
     "3,0,0,F,4 22,PC,THREATS WITH INTENT,x",
     "4,0,0,I,602(M),PC,TRESPASS: OCCUPY PROPERTY,x",
-    "5,0,0,M,999,PC,NOTHING,x",
+    "5,0,0,M,999,PC,NA,x",
 ]
 
 

@@ -48,7 +48,10 @@ def fact(tables):
 def test_headers_become_snake_case(make):
     assert files.snake_case("Age At Time Of Crime") == "age_at_time_of_crime"
     assert files.snake_case(" Match Type ") == "match_type"
-    assert files.snake_case("BCS-Code#2") == "bcs_code_2"
+    assert files.snake_case("BCS-Code #2") == "bcs_code_number_2"
+    assert files.snake_case("caseLevel") == files.snake_case("CASE Level") == "case_level"
+    assert files.snake_case("2nd % of \"all\"") == "x2nd_percent_of_all"
+    assert files.snake_case("") == "x"
     assert files.clean_names(make("`A b` int, `a B` int", (1, 2))).columns == ["a_b", "a_b_2"]
 
 
@@ -63,6 +66,15 @@ def test_lists_lose_blanks_and_line_ends(spark, paths):
     assert "PC_594" in charges and "PC_647" in charges and "NA_#7028(A)(1)/04" in charges
     assert not [c for c in charges if c.endswith(("_", "\r"))]
     assert {r.match_type for r in rules.collect()} == {"Exact", "Partial"}
+    quoted = rules.filter("charge = 'PC_647'").collect()[0]
+    assert quoted.description == 'Many kinds of "disorderly" conduct, and so on'
+
+
+def test_code_table_by_position(spark, paths):
+    rows = files.read_code_table(spark, paths["code_table"]).orderBy("row_order").collect()
+    assert [r.bcs_code for r in rows] == list("12345")
+    assert rows[1].offense_number == "422" and rows[2].offense_number == "4 22"
+    assert rows[4].offense_description is None
 
 
 def test_part_types_are_declared_not_guessed(parts):
