@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.constants import HELD_TO_ANSWER, PART_NAMES, PLEA_TEXTS
-from docketry.functions.exprs import age_group, paste, recode
-from docketry.operators.dictionary import code_table_keys, merge_texts
 from docketry.operators.ordinal import with_row_ids
 from docketry.operators.rules import exact_tag, rule_tag
-from docketry.operators.superseded import superseded_keys, surviving_interim_rows
+from docketry.plans.keys import add_code_keys, is_interim
 from docketry.plans.tables import ChargeTables
 from docketry.schemas import CHARGE_PART
 from docketry.store import materialise
@@ -67,44 +64,6 @@ def stack_parts(parts: Mapping[str, DataFrame], columns: list[str] | None = None
     return stacked
 
 
-def add_code_keys(df: DataFrame) -> DataFrame:
-    """Add the code with its section, without and with the charge level in front."""
-    return df.withColumn("code_section", paste("code", "section")).withColumn(
-        "code_section_m_f", paste("charge_level", "code_section")
-    )
-
-
-def part_digit() -> Column:
-    """The digit of a part tag, with which all ids start."""
-    return F.substring("data_part", 5, 1)
-
-
-def charge_id() -> Column:
-    """One code charged to one defendant in one case; several rows may carry it."""
-    return paste(part_digit(), "masked_case_no", "defendant_no", paste("code", "section"))
-
-
-def add_keys(df: DataFrame) -> DataFrame:
-    """Add charge, person and case ids, bands and readable texts.
-
-    All of it is computed from columns of the same row, so it is added on reading and Spark
-    drops what an analysis does not use. The last step replaces the part tag, the ids beside
-    it still see the old one.
-    """
-    return add_code_keys(df).withColumns(
-        {
-            "minor_zip_code": F.substring("minor_zip_code", 1, 5),
-            "age_group": age_group("age_at_time_of_crime"),
-            "charge_id": charge_id(),
-            "person_id": paste(part_digit(), "masked_case_no", "defendant_no"),
-            "case_id": paste(part_digit(), "masked_case_no"),
-            "data_part": recode("data_part", PART_NAMES),
-            "plea_description": recode("plea", PLEA_TEXTS),
-            "key": paste("code_section", "charge_level"),
-        }
-    )
-
-
 def tag_codes(codes: DataFrame, lists: CodeLists) -> DataFrame:
     """Tag distinct codes (code_section, code_section_m_f) by all lists."""
     codes = exact_tag(codes, lists.wobblers, "wobbler")
@@ -112,11 +71,6 @@ def tag_codes(codes: DataFrame, lists: CodeLists) -> DataFrame:
     return exact_tag(codes, lists.svf, "svf", code="code_section_m_f", entry="code_section")
 
 
-def is_interim() -> Column:
-    """True for a status that a later disposition of the same charge replaces."""
-    return F.coalesce(F.col("result_description") == HELD_TO_ANSWER, F.lit(False))
-
-
 def build_charges(
     stacked: DataFrame,
     lists: CodeLists,
@@ -145,18 +99,7 @@ def build_charges(
     layout = ("data_part", "interim")
     stored = materialise(tagged.hint("rebalance", *layout), "charges", layout)
 
-    identified = stored.withColumn("charge_id", charge_id())
-    superseded = superseded_keys(identified, "charge_id", F.col("interim"))
-    surviving = surviving_interim_rows(
-        identified.filter("interim"), superseded, "charge_id", keep_one_if_all_superseded
-    )
-    surviving = materialise(surviving.select(*stored.columns), "surviving")
-    return ChargeTables(
-        all_charges=add_keys(stored).drop("interim"),
-        charges=add_keys(stored.filter(~F.col("interim")).unionByName(surviving)).drop("interim"),
-        texts=materialise(merge_texts(code_table_keys(lists.code_table)), "texts"),
-        parts=stored.drop("interim"),
-    )
+    return ChargeTables(stored, lists.code_table, keep_one_if_all_superseded)
 
 
 def build_from_parts(parts: Mapping[str, DataFrame], lists: CodeLists, **options) -> ChargeTables:

@@ -10,20 +10,54 @@ from pyspark.sql import functions as F
 
 from docketry.constants import DISMISSED, DIVERSION
 from docketry.functions.exprs import distinct_count, if_else, ratio, strict_sum
-from docketry.operators.dictionary import describe
+from docketry.operators.dictionary import code_table_keys, describe, merge_texts
 from docketry.operators.rollup import entity_rollup, first_per_group
+from docketry.operators.superseded import superseded_keys, surviving_interim_rows
+from docketry.plans.keys import add_keys, charge_id
 from docketry.schemas import CHARGE_FACT_COLUMNS
 from docketry.store import materialise
 
 
 @dataclass(frozen=True)
 class ChargeTables:
-    """Charges with and without superseded rows, offence texts, and roll-ups made on first use."""
+    """The stored charges and everything derived from them, each made on first use."""
 
-    all_charges: DataFrame  # every charge row
-    charges: DataFrame  # without superseded rows
-    texts: DataFrame  # key, offense_description
-    parts: DataFrame  # every row as stacked, with its part tag
+    stored: DataFrame  # every row as stacked, with its tags and whether it is interim
+    code_table: DataFrame
+    keep_one_if_all_superseded: bool = False
+
+    @property
+    def parts(self) -> DataFrame:
+        """Every row as stacked, with its part tag."""
+        return self.stored.drop("interim")
+
+    @cached_property
+    def all_charges(self) -> DataFrame:
+        """Every charge row, with ids and readable texts."""
+        return add_keys(self.parts)
+
+    @cached_property
+    def charges(self) -> DataFrame:
+        """The charges without superseded rows.
+
+        Only the interim rows are looked at one by one and rewritten; the others are read as
+        they are stored.
+        """
+        identified = self.stored.withColumn("charge_id", charge_id())
+        surviving = surviving_interim_rows(
+            identified.filter("interim"),
+            superseded_keys(identified, "charge_id", F.col("interim")),
+            "charge_id",
+            self.keep_one_if_all_superseded,
+        )
+        surviving = materialise(surviving.select(*self.stored.columns), "surviving")
+        rows = self.stored.filter(~F.col("interim")).unionByName(surviving)
+        return add_keys(rows.drop("interim"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """One offence text per key."""
+        return materialise(merge_texts(code_table_keys(self.code_table)), "texts")
 
     def describe(self, df: DataFrame) -> DataFrame:
         """Add offence texts to a frame with a `key`, best after it has been aggregated."""

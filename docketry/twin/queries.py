@@ -14,7 +14,8 @@ from docketry.operators.ordinal import with_sorted_row_ids
 from docketry.operators.rules import exact_tag, rule_tag
 from docketry.operators.superseded import drop_superseded
 from docketry.plans import analyses as a
-from docketry.plans.build import is_interim, stack_parts
+from docketry.plans.build import stack_parts
+from docketry.plans.keys import is_interim
 from docketry.plans.report import ANALYSES
 from docketry.plans.tables import ChargeTables
 from docketry.twin import tables as twin
