@@ -125,8 +125,11 @@ def distinct_count(value: ColumnLike) -> Column:
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    """Percent with one decimal, as text. Integer arithmetic: halves go up on every engine."""
-    tenths = _int_div(part * 2000 + whole, whole * 2)
+    """Percent with one decimal, as text; missing over zero.
+
+    Integer arithmetic: halves go up on every engine.
+    """
+    tenths = _int_div(part * 2000 + whole, F.nullif(whole * 2, F.lit(0)))
     return F.concat(_int_div(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 

@@ -18,6 +18,12 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder or None
 
 
+def own_folder(spark: SparkSession) -> str | None:
+    """The part of the shared folder in which this application keeps its tables."""
+    folder = shared_folder(spark)
+    return folder and f"{folder.rstrip('/')}/docketry/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the frame as Parquet in the shared folder and read it back.
 
@@ -26,9 +32,17 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     a shared folder the frame stays as it is.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = own_folder(spark)
     if folder is None:
         return df
-    path = f"{folder.rstrip('/')}/docketry/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+    path = f"{folder}/{name}-{uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables this application has written; frames that read them become useless."""
+    folder = own_folder(spark)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

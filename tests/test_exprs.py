@@ -91,8 +91,8 @@ def test_shares(make):
 
 
 def test_labels(make):
-    df = make("n long, t long", (1, 3), (1, 400), (1234, 1234), (0, 5), (5, 2000))
+    df = make("n long, t long", (1, 3), (1, 400), (1234, 1234), (0, 5), (5, 2000), (0, 0))
     text = x.percent_text(F.col("n"), F.col("t"))
-    assert values(df.select(text.alias("v"))) == ["33.3", "0.3", "100.0", "0.0", "0.3"]
+    assert values(df.select(text.alias("v"))) == ["33.3", "0.3", "100.0", "0.0", "0.3", None]
     label = x.count_label(F.col("n"), F.col("t"), "charges")
     assert values(df.select(label.alias("v")))[2] == "100.0% \n (1,234 charges) "

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from docketry import CodeLists, report
+from docketry import ChargeTables, CodeLists, build_charges, report
 from docketry.operators.ordinal import with_row_ids
 from docketry.plans.build import build_from_parts, stack_parts
+from docketry.plans.report import ANALYSES
 from docketry.schemas import CHARGE_FACT_COLUMNS
 from docketry.sources import files
 from tests import records
@@ -209,8 +210,6 @@ def test_superseded_rows(fact, tables, parts, lists):
 
 def test_codes_may_come_from_elsewhere(parts, lists, fact, make):
     numbered = with_row_ids(stack_parts(parts))
-    from docketry import build_charges
-
     codes = numbered.select("code", "section", "charge_level").unionByName(
         make("code string, section string, charge_level string", ("XX", "1", "M"))
     )
@@ -253,3 +252,16 @@ def test_report_on_records(tables):
     }
     folded = {r.result_simple: r.n for r in results["folded_results"]}
     assert folded["Other"] == 2 and sum(folded.values()) == 12
+
+
+@pytest.fixture(scope="module")
+def empty(tables):
+    return ChargeTables(tables.stored.filter("false"), tables.code_table)
+
+
+@pytest.mark.parametrize("name", sorted(ANALYSES))
+def test_analyses_of_no_charges(empty, name):
+    """Nothing to count is no error: counts are zero, shares missing, tables empty."""
+    for row in ANALYSES[name](empty).collect():
+        for column, value in row.asDict().items():
+            assert value in (0, None, "") or isinstance(value, str) or column == "sort_order"

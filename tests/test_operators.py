@@ -176,3 +176,13 @@ def test_without_shared_folder_frames_stay_lazy(frame, monkeypatch):
 
 def test_shared_folder_is_the_sessions(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_clean_up_deletes_the_applications_own_tables(spark, frame, monkeypatch, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    monkeypatch.setattr(store, "shared_folder", lambda spark: str(tmp_path))
+    kept = store.materialise(frame, "rows")
+    assert kept.count() == frame.count() and kept.columns == frame.columns
+    store.clean_up(spark)
+    assert other.exists() and not list((tmp_path / "docketry").iterdir())
