@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from docketry.operators.superseded import superseded_keys, surviving_interim_rows
+from docketry.plans.keys import charge_id
+from docketry.twin.tables import charge_rows, charge_tables
 from tests.test_twin import SF_DIR, in_order, pytestmark  # noqa: F401
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     # small enough for the fixture's hot partition to count as skewed
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
 }
 
@@ -32,8 +37,13 @@ def duck(tmp_path_factory):
         {first}""")
     for table in ("orders", "part"):
         connection.execute(f"create table {table} as from read_parquet('{SF_DIR}/{table}.parquet')")
-    for table in ("lineitem", "orders", "part"):
+    for table in ("orders", "part"):
         connection.execute(f"copy {table} to '{folder}/{table}.parquet' (format parquet)")
+    # Several files, since a heavy key is split between the tasks that read it.
+    (folder / "lineitem.parquet").mkdir()
+    for i in range(8):
+        rows = f"(from lineitem where hash(l_extendedprice, l_linenumber) % 8 = {i})"
+        connection.execute(f"copy {rows} to '{folder}/lineitem.parquet/{i}.parquet' (format parquet)")
     return connection, str(folder)
 
 
@@ -54,6 +64,23 @@ def test_one_charge_holds_a_third(duck):
     assert most > 0.3 * rows
 
 
+def test_heavy_keys_of_both_joins_are_split(spark, skewed):
+    rows = charge_rows(spark, skewed).agg(F.max("plea"), F.max("case_level"), F.max("code"))
+    rows.collect()
+    final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("SortMergeJoin(skew=true)") == 2
+
+
+def test_interim_rows_of_a_heavy_charge_are_split(spark, skewed):
+    tables = charge_tables(spark, skewed)
+    rows = tables.stored.withColumn("charge_id", charge_id())
+    superseded = superseded_keys(rows, "charge_id", F.col("interim"))
+    kept = surviving_interim_rows(rows.filter("interim"), superseded, "charge_id").agg(F.max("plea"))
+    kept.collect()
+    final = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin(skew=true)" in final
+
+
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query_equals_sql_on_skewed_records(spark, duck, skewed, name):
     df = driver.queries()[name](spark, skewed)

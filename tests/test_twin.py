@@ -48,6 +48,21 @@ def test_query_equals_sql(spark, duck, name):
     )
 
 
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "Window", "ExistingRDD")
+
+
+@pytest.mark.parametrize("name", sorted(driver.queries()))
+def test_plan_has_no_cross_join_python_or_window(spark, name):
+    plan = driver.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not [node for node in UNWANTED if node in plan]
+
+
+def test_scans_read_the_needed_columns_only(tables):
+    plan = tables.charges.groupBy("result_description").count()._jdf.queryExecution().toString()
+    assert plan.count("ReadSchema: struct<result_description:string>") == 2
+    assert "PartitionFilters: [isnotnull(interim" in plan
+
+
 def test_entry(spark):
     assert driver.entry(spark).columns == ["result_description", "n", "pct"]
 
