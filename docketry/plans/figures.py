@@ -13,7 +13,7 @@ from docketry.constants import (
 )
 from docketry.functions.exprs import count_label, percent_text, ratio, recode
 from docketry.operators.frequency import freq_table
-from docketry.plans.analyses import OFFENCE, top_diverted
+from docketry.plans.analyses import OFFENCE, charge_count, top_diverted
 from docketry.plans.tables import ChargeTables
 
 
@@ -23,7 +23,7 @@ def _position(value: str, order: list[str]) -> Column:
     return F.when(place > 0, place.cast("int"))
 
 
-def charge_types(t: ChargeTables) -> DataFrame:
+def charge_types(t: ChargeTables, sort: bool = True) -> DataFrame:
     """Charge-type figure: four types over all charges, serious felonies over adult ones.
 
     Both populations are counted in one pass and then turned into rows.
@@ -44,7 +44,7 @@ def charge_types(t: ChargeTables) -> DataFrame:
     total = F.when(F.col("type") == "serious_or_violent", F.col("adult_rows")).otherwise(
         F.col("all_rows")
     )
-    return rows.select(
+    figure = rows.select(
         _position("type", names).alias("sort_order"),
         "type",
         recode("type", {name: text for name, text, _ in CHARGE_TYPES}).alias("label"),
@@ -52,7 +52,8 @@ def charge_types(t: ChargeTables) -> DataFrame:
         "n",
         total.alias("total"),
         ratio(F.col("n"), total).alias("pct"),
-    ).orderBy("sort_order")
+    )
+    return figure.orderBy("sort_order") if sort else figure
 
 
 def _case_counts(t: ChargeTables) -> DataFrame:
@@ -74,7 +75,7 @@ def case_severity(t: ChargeTables) -> DataFrame:
     return wide.unpivot([], ["felonies", "misdemeanors", "n"], "type", "pct")
 
 
-def outcomes(t: ChargeTables) -> DataFrame:
+def outcomes(t: ChargeTables, sort: bool = True) -> DataFrame:
     """Outcome figure: results folded to five classes, a missing result among "Other"."""
     fold = F.lit(next(text for result, text in OUTCOME_CLASSES if result is None))
     named = {result: text for result, text in OUTCOME_CLASSES if result is not None}
@@ -83,18 +84,19 @@ def outcomes(t: ChargeTables) -> DataFrame:
     folded = t.charges.select(simple.alias("result_simple"))
     table = freq_table(folded, "result_simple", sort=False)
     order = _position("result_simple", [text for _, text in OUTCOME_CLASSES])
-    return table.withColumn("sort_order", order).orderBy("sort_order")
+    figure = table.withColumn("sort_order", order)
+    return figure.orderBy("sort_order") if sort else figure
 
 
-def diverted_offences(t: ChargeTables, k: int = 5) -> DataFrame:
+def diverted_offences(t: ChargeTables, k: int = 5, sort: bool = True) -> DataFrame:
     """Diversion figure: most diverted offences under their short names, in order of their rate."""
     rows = top_diverted(t, k).withColumn(OFFENCE, recode(OFFENCE, DIVERSION_FIGURE_TEXTS))
-    return rows.orderBy("pct_diverted", OFFENCE)
+    return rows.orderBy("pct_diverted", OFFENCE) if sort else rows
 
 
 def bar_labels(t: ChargeTables) -> DataFrame:
     """The text on each bar of the four figures, made from the counts behind it."""
-    types = charge_types(t).select(
+    types = charge_types(t, sort=False).select(
         F.lit("charge_types").alias("figure"),
         F.col("label").alias("category"),
         count_label(F.col("n"), F.col("total"), "charges").alias("bar_label"),
@@ -108,13 +110,12 @@ def bar_labels(t: ChargeTables) -> DataFrame:
             count_label(F.col("cases"), F.col("n"), "cases").alias("bar_label"),
         )
     )
-    folded = outcomes(t)
-    results = folded.select(
+    results = outcomes(t, sort=False).select(
         F.lit("outcomes").alias("figure"),
         F.col("result_simple").alias("category"),
-        count_label(F.col("n"), folded.agg(F.sum("n")).scalar(), "charges").alias("bar_label"),
+        count_label(F.col("n"), charge_count(t).scalar(), "charges").alias("bar_label"),
     )
-    diverted = diverted_offences(t).select(
+    diverted = diverted_offences(t, sort=False).select(
         F.lit("diverted_offences").alias("figure"),
         F.col(OFFENCE).alias("category"),
         F.concat(

@@ -80,6 +80,7 @@ RULE_LIST = [
     "PC 602(M),Exclude,Subsection,,Partial,",
     'PC 647 ,Include,Main statute,"Many kinds of ""disorderly"" conduct, and so on",Partial,',
     "PC 647.6,Exclude,Subsection,,Partial,",
+    "PC 647(J),Exclude,Subsection,,Partial,",
     "PC 594 ,Include,Main statute,,Exact,",
     "PC 594(A),Include,Subsection,,Exact,",
     "PC 530.5,Include,Main statute,Identity Theft ,Partial,",

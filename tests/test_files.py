@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import ChargeTables, CodeLists, build_charges, report
 from docketry.operators.ordinal import with_row_ids
+from docketry.operators.rules import rule_tag
 from docketry.plans.build import build_from_parts, stack_parts
 from docketry.plans.report import ANALYSES
 from docketry.schemas import CHARGE_FACT_COLUMNS
@@ -192,6 +193,27 @@ def test_literal_mode_reads_brackets_as_brackets(parts, lists):
     assert dict(map(tuple, rows)) == {**LOW_LEVEL, "PC_602(M)": False}
 
 
+@pytest.mark.parametrize(
+    "code, regex, literal",
+    [
+        ("PC_602(M)", True, False),  # brackets group in a regular expression, so the exclude misses it
+        ("PC_602M", False, True),  # and hits this one instead
+        ("PC_647(J)", True, False),
+        ("PC_647.6(A)", False, False),
+        ("PC_484.1&490.2", False, False),  # included and excluded
+        ("PC_530.5(B)", True, True),  # the exclude is written in lower case
+        ("VC_24852", True, True),  # 485 anywhere in the code
+        ("PC_422.6(A)", True, True),
+        ("VC_4902", False, False),
+        ("XX_49092", True, True),  # the dot of the added pattern 490.2 is any character
+    ],
+)
+def test_rule_details(make, lists, code, regex, literal):
+    codes = make("code_section string", (code,))
+    assert rule_tag(codes, lists.rules).collect()[0].low_level is regex
+    assert rule_tag(codes, lists.rules, mode="literal").collect()[0].low_level is literal
+
+
 def test_offence_texts(fact, tables):
     texts = {r.key: r.offense_description for r in fact.values()}
     assert texts["HS_11364_M"] == "paraphernalia -- HS_11364_M"

@@ -178,6 +178,29 @@ def test_shared_folder_is_the_sessions(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+class SessionWithoutFolder:
+    """Just what `shared_folder` asks of a session, with no checkpoint folder set."""
+
+    def __init__(self, master: str):
+        self.conf = {}
+        self.sparkContext = self
+        self.master = master
+        self.folder = None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_only_local_sessions_get_a_temporary_folder(monkeypatch, tmp_path):
+    monkeypatch.setattr(store.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
+    local = SessionWithoutFolder("local[4]")
+    assert store.shared_folder(local) == local.folder == str(tmp_path)
+    assert store.shared_folder(SessionWithoutFolder("yarn")) is None
+
+
 def test_clean_up_deletes_the_applications_own_tables(spark, frame, monkeypatch, tmp_path):
     other = tmp_path / "other"
     other.mkdir()
