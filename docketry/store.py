@@ -2,47 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The session's checkpoint folder; a local session without one gets a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docketry-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder or None
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder
 
 
-def own_folder(spark: SparkSession) -> str | None:
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """For a session without a checkpoint folder, as in tests: one in the warehouse, which is shared too."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(f"{warehouse.rstrip('/')}/_checkpoints")
+
+
+def own_folder(spark: SparkSession) -> str:
     """The part of the shared folder in which this application keeps its tables."""
-    folder = shared_folder(spark)
-    return folder and f"{folder.rstrip('/')}/docketry/{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark).rstrip('/')}/docketry/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the frame as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not the joins before it. The file
-    sizes also tell Spark whether the table is small enough to broadcast. On a cluster without
-    a shared folder the frame stays as it is.
+    sizes also tell Spark whether the table is small enough to broadcast.
     """
     spark = df.sparkSession
-    folder = own_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/{name}-{uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Delete all tables this application has written; frames that read them become useless."""
-    folder = own_folder(spark)
-    if folder is not None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
