@@ -25,7 +25,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = materialise(large.filter("u != v").distinct(), "links")
+        large = large.filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = small.filter("u != v").unionByName(low.select("u", F.col("low").alias("v")))

@@ -15,6 +15,7 @@ from docketry.llm.textops import Chunk, byte_values, chunks, mix, span_hashes
 from docketry.store import materialise
 
 MEMBERS_PER_TASK_GROUP = 256
+MOST_TURNS = 8
 
 
 def shingle_sets(chunk: Chunk, words: int) -> list[np.ndarray]:
@@ -149,8 +150,8 @@ def near_duplicates(
        member is compared with all others, so the pairs grow with the bucket, not its square.
     3. Pairs are confirmed on the whole sets: 100 * common >= `percent` * union.
     4. Members of a bucket that are still in different components are compared by further
-       stars with other centres; once the open pairs are no more than the stars' pairs, all of
-       them are compared. So no candidate link is lost by the stars. Nothing is capped.
+       stars with other centres; once the open pairs are few, or after `MOST_TURNS` turns, all
+       of them are compared. So no candidate link is lost by the stars. Nothing is capped.
 
     With 32 bands of 4 rows a pair at 0.8 misses every bucket with probability below 1e-7.
 
@@ -204,55 +205,73 @@ def near_duplicates(
 
 
 def _candidate_links(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links between classes that share a bucket."""
-    node = F.col("rep")
+    """Confirmed links between classes that share a bucket.
+
+    Only buckets with more than one component stay open. After each turn the components that
+    its links join are renamed in the open buckets.
+    """
+    open_rows = buckets.select("bucket", "rep", "size", F.col("rep").alias("component"))
     confirmed = None
-    labels = None
-    for turn in range(20):
-        if labels is None:
-            state = buckets.withColumn("component", node)
-        else:
-            state = buckets.join(labels, node == F.col("node"), "left").select(
-                "bucket", "rep", "size", F.coalesce("component", "rep").alias("component")
-            )
-        parts = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        whole = parts.groupBy("bucket").agg(
-            F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")
+    for turn in range(MOST_TURNS):
+        parts = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        unsettled = (
+            parts.groupBy("bucket")
+            .agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts"))
+            .filter("parts > 1")
         )
-        unsettled = whole.filter("parts > 1")
-        if labels is not None:
+        last = turn == MOST_TURNS - 1
+        if turn:
             left = unsettled.agg(
                 F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), F.sum("all").alias("star")
             ).first()
             if not left["pairs"]:
                 break
-            last = left["pairs"] <= 4 * left["star"]
-        else:
-            last = False
-        open_rows = state.join(unsettled.select("bucket"), "bucket")
+            last = last or left["pairs"] <= 4 * left["star"]
+            open_rows = materialise(open_rows.join(unsettled.select("bucket"), "bucket"), "buckets")
         if last:
             other = open_rows.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("rep", "size", "component")])
             pairs = open_rows.join(other, "bucket").filter("rep < rep_2")
         else:
-            order = F.xxhash64("rep", F.lit(turn)) if turn else node
+            order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
             centres = open_rows.groupBy("bucket").agg(
                 F.min_by(F.struct("rep", "size", "component"), order).alias("centre")
             )
             pairs = open_rows.join(centres, "bucket").select(
                 "*", *[F.col(f"centre.{c}").alias(f"{c}_2") for c in ("rep", "size", "component")]
             )
+        forward = F.col("rep") < F.col("rep_2")
         pairs = (
             pairs.filter("component != component_2")
             .filter(100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2"))
-            .select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b"))
+            .select(
+                F.least("rep", "rep_2").alias("a"),
+                F.greatest("rep", "rep_2").alias("b"),
+                F.when(forward, F.col("component")).otherwise(F.col("component_2")).alias("part_a"),
+                F.when(forward, F.col("component_2")).otherwise(F.col("component")).alias("part_b"),
+            )
             .distinct()
         )
         if confirmed is not None:
             pairs = pairs.join(confirmed.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "candidates")
-        found = materialise(confirm(pairs, texts, words, percent), "confirmed")
+        found = materialise(confirm(pairs.select("a", "b"), texts, words, percent), "confirmed")
         confirmed = found if confirmed is None else confirmed.unionByName(found)
         if last:
             break
-        labels = materialise(components(confirmed.filter("linked").select("a", "b")), "labels")
+        joined = pairs.join(found.filter("linked"), ["a", "b"])
+        renamed = components(joined.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+        renamed = renamed.select(F.col("node").alias("component"), F.col("component").alias("renamed"))
+        open_rows = open_rows.join(renamed, "component", "left").select(
+            "bucket", "rep", "size", F.coalesce("renamed", "component").alias("component")
+        )
     return confirmed.filter("linked").select("a", "b")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` but for the near-duplicates of a smaller doc_id (see near_duplicates).
+
+    Rows with a null doc_id stay; of rows that share a doc_id all stay or none.
+    """
+    dropped = near_duplicates(docs, words, percent).filter(~F.col("kept"))
+    dropped = materialise(dropped.select(F.col("doc_id").alias("_dropped_id")).distinct(), "dropped")
+    return docs.join(dropped, docs["doc_id"] == F.col("_dropped_id"), "left_anti")

@@ -4,23 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docketry.llm.bpe import encode_texts
 from docketry.llm.minhash import near_duplicates
+from docketry.llm.mixing import mix
+from docketry.llm.oracle import ORACLE_SQL
+from docketry.llm.phrases import remove_repeated_passages
+from docketry.llm.quality import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_passages(docs).select(
+        "rest.doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "rest.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    spelled = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "rest.doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(spelled.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("row.doc_id", "row.source", "rank", "block", "slot")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    q.__name__: q
+    for q in (
+        op2_substring_dedup,
+        op4_quality_rules,
+        op5_byte_bpe,
+        op6_source_mix,
+        op9_minhash_near_dedup,
+        pipeline,
+    )
 }
-
-ORACLE_SQL: dict[str, str] = {}
