@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.bpe import encode_texts
+from docketry.llm.licenses import scan_licenses
+from docketry.llm.maxent import score_texts
 from docketry.llm.minhash import near_duplicates
 from docketry.llm.mixing import mix
 from docketry.llm.oracle import ORACLE_SQL
 from docketry.llm.phrases import remove_repeated_passages
 from docketry.llm.quality import judge
+from docketry.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +58,29 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("row.doc_id", "row.source", "rank", "block", "slot")
 
 
+# The rules the pages are judged by.
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(pa.table(dict(zip(("host", "path", "verdict"), map(list, zip(*URL_RULES))))))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op10_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -71,7 +98,10 @@ QUERIES: dict[str, Query] = {
         op4_quality_rules,
         op5_byte_bpe,
         op6_source_mix,
+        op7_url_filter,
+        op8_license_scan,
         op9_minhash_near_dedup,
+        op10_maxent_score,
         pipeline,
     )
 }
