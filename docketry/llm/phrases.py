@@ -121,6 +121,7 @@ def _locate(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, doc_ids, found = batch.column("text"), batch.column("doc_id"), batch.column("found")
+            is_copy = batch.column("copy").to_pylist()
             kept: list[str | None] = [None] * len(batch)
             n_words = np.zeros(len(batch), np.int64)
             n_removed = np.zeros(len(batch), np.int64)
@@ -134,6 +135,9 @@ def _locate(window: int):
             for i in range(len(batch)):
                 words = (texts[i].as_py() or "").encode().split()
                 n_words[i] = len(words)
+                if is_copy[i] and len(words) >= window:
+                    n_removed[i], kept[i] = len(words), ""
+                    continue
                 if not found[i].is_valid:
                     kept[i] = b" ".join(words).decode()
                     continue
@@ -151,12 +155,22 @@ def _locate(window: int):
     return work
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Keys of the rows whose whole text a smaller doc_id has, told by 96 bits of its hashes."""
+    named = rows.select(*KEY, F.hash("text").alias("text_hash_2"))
+    firsts = named.groupBy("text_hash", "text_hash_2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = firsts.filter("first < last").drop("last")
+    return named.join(firsts, ["text_hash", "text_hash_2"]).filter("doc_id > first").select(*KEY).distinct()
+
+
 def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
     """`rest` (all columns but text), text, kept_text, n_words and n_removed for every row of `docs`.
 
     A word goes if a window of `window` words over it also starts in a document with a smaller
     doc_id; kept words are joined by one space.
 
+    0. A whole text that a smaller doc_id has loses all its words if it is as long as a window;
+       such copies take no part in what follows.
     1. Anchors: of each window's runs of `gram` words the one with the smallest hash. Equal
        windows have equal anchors, so a window can recur only if its anchor does; about one run
        in 13 is an anchor.
@@ -186,10 +200,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 25)
         named.select(*KEY, "text").mapInArrow(_anchors(window, gram), "anchor bigint, doc_id bigint, text_hash bigint"),
         "anchors",
     )
-    recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    recurring = anchors.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"))
     recurring = recurring.filter("a < b").select("anchor")
+    copies = materialise(_copies(named), "copies")
     own = anchors.join(recurring, "anchor").groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors"))
-    own = materialise(own, "own_anchors")
+    own = materialise(own.join(copies, KEY, "left_anti"), "own_anchors")
     windows = rows.join(own, KEY).select(*KEY, "text", "anchors").mapInArrow(
         _windows(window, gram), "print bigint, check int, doc_id bigint, text_hash bigint, place int"
     )
@@ -200,8 +215,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 25)
         .filter("first < doc_id")
         .groupBy(*KEY)
         .agg(F.collect_set(F.struct("place", "first")).alias("found"))
+        .withColumn("copy", F.lit(False))
     )
+    no_places = F.lit(None).cast(found.schema["found"].dataType).alias("found")
+    found = found.unionByName(copies.select(*KEY, no_places, F.lit(True).alias("copy")))
     schema = T.StructType(
         [rows.schema["rest"], rows.schema["text"], *(T.StructField(n, t) for n, t in RESULT.items())]
     )
-    return rows.join(found, KEY, "left").select("doc_id", "text", "rest", "found").mapInArrow(_locate(window), schema)
+    return rows.join(found, KEY, "left").select("doc_id", "text", "rest", "found", "copy").mapInArrow(_locate(window), schema)
