@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.bpe import encode_texts
+from docketry.llm.embeddings import link_vectors
 from docketry.llm.licenses import scan_licenses
 from docketry.llm.maxent import score_texts
 from docketry.llm.minhash import near_duplicates
@@ -17,6 +18,7 @@ from docketry.llm.mixing import mix
 from docketry.llm.oracle import ORACLE_SQL
 from docketry.llm.phrases import remove_repeated_passages
 from docketry.llm.quality import judge
+from docketry.llm.suffixes import remove_repeated_bytes
 from docketry.llm.urls import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_passages(docs).select(
@@ -35,6 +41,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_bytes(docs).select(
+        "rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         "rest.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -94,7 +107,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
+        op1_embedding_near_dedup,
         op2_substring_dedup,
+        op3_suffix_dedup,
         op4_quality_rules,
         op5_byte_bpe,
         op6_source_mix,
