@@ -53,43 +53,29 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def matches_any(
-    value: ColumnLike,
-    patterns: Iterable[str],
-    mode: str = "regex",
-    few: int = 8,
-    per_expression: int = 200,
-) -> Column:
+def matches_any(value: ColumnLike, patterns: Iterable[str] | Column, mode: str = "regex") -> Column:
     """True where one of the patterns is found in the value.
 
+    Every pattern is searched by itself, however many there are, so none changes what another
+    one finds. They are given one by one or as an array column, which may come from a table.
     mode "regex" reads each pattern as a regular expression, "literal" as plain text. No
-    patterns match nothing. A few patterns are tried one by one, more are put together in
-    alternations.
+    patterns match nothing.
     """
     if mode not in ("regex", "literal"):
         raise ValueError(f"unknown match mode: {mode}")
-    patterns = list(patterns)
-    if len(patterns) <= few:
-        if mode == "literal":
-            return any_of(F.coalesce(_col(value).contains(p), F.lit(False)) for p in patterns)
-        return any_of(matches(value, p) for p in patterns)
+    if isinstance(patterns, Column):
+        find = F.rlike if mode == "regex" else F.contains
+        return F.coalesce(F.exists(patterns, lambda p: find(_col(value), p)), F.lit(False))
     if mode == "literal":
-        patterns = [quote(p) for p in patterns]
-    return any_of(
-        matches(value, "|".join(patterns[i : i + per_expression]))
-        for i in range(0, len(patterns), per_expression)
-    )
-
-
-def quote(text: str) -> str:
-    """Regular expression that finds the text as it stands."""
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        return any_of(F.coalesce(_col(value).contains(p), F.lit(False)) for p in patterns)
+    return any_of(matches(value, p) for p in patterns)
 
 
 def age_group(age: ColumnLike) -> Column:
     """Age band; ages up to 10, from 91 and missing ones share one band."""
     age = _col(age)
     return (
+        # The bands and their names.
         F.when((age > 10) & (age < 18), "minor_11-17")
         .when((age >= 18) & (age < 26), "young_adult_18-25")
         .when((age >= 26) & (age < 91), "adult_26-90")

@@ -1,4 +1,4 @@
-"""Row numbers in input order for rows read from files."""
+"""Row numbers in a declared order."""
 
 from __future__ import annotations
 
@@ -8,42 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.store import materialise
+# Where a row came from, in row order; the file readers add these.
+ORIGIN = ("_part_no", "_file", "_block", "_line")
 
-# Where a row came from; the file readers add these.
-ORIGIN = ("_part_no", "_file", "_block")
 
+def sorted_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """The rows in ranges of the whole sort key, with the range and a generated id inside it.
 
-def with_sorted_row_ids(df: DataFrame, *order: str, text_id: str = "unique_id") -> DataFrame:
-    """Number rows 1..n in the order of the given columns.
-
-    The sort spreads rows over ranges of the whole sort key, so neither a single task nor one
-    heavy first key sees all rows; the ranges are then numbered like file splits.
+    Neither a single task nor one heavy first key sees all rows. Write the result before it is
+    numbered: generated ids must not change between two reads.
     """
-    ranges = df.orderBy(*order).withColumn("_range", F.spark_partition_id())
-    return with_row_ids(ranges, ["_range"], text_id)
+    return df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_generated")
+    )
 
 
-def with_row_ids(df: DataFrame, origin: Sequence[str] = ORIGIN, text_id: str = "unique_id") -> DataFrame:
-    """Number rows 1..n in the order of parts, files and lines; add the zero-padded text id.
+def origin_offsets(rows: DataFrame, origin: Sequence[str], line: str) -> DataFrame:
+    """Per origin, in order: its lowest line and the number of rows before it.
 
-    A file split is read by one task from top to bottom, so its rows have consecutive
-    generated ids. Only the splits, not the rows, are put in order and summed up; each row
-    then adds its split's offset. The rows are written first, since generated ids must not
-    change between the two reads.
+    Only the origins, one per range or file split, are put in order and summed up in one task.
     """
-    rows = materialise(df.withColumn("_generated", F.monotonically_increasing_id()), "numbered")
-    splits = rows.groupBy(*origin).agg(
-        F.min("_generated").alias("_low"), F.count(F.lit(1)).alias("_rows")
-    )
+    splits = rows.groupBy(*origin).agg(F.min(line).alias("_low"), F.count(F.lit(1)).alias("_rows"))
     before = W.orderBy(*origin).rowsBetween(W.unboundedPreceding, -1)
-    offsets = materialise(
-        splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))), "offsets"
-    )
-    row_order = F.col("_before") + F.col("_generated") - F.col("_low") + 1
+    return splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+
+
+def with_row_numbers(
+    rows: DataFrame, offsets: DataFrame, origin: Sequence[str], line: str, text_id: str = "unique_id"
+) -> DataFrame:
+    """Add each row's number, from 1, and its zero-padded text: its origin's offset and its line in it.
+
+    The lines of one origin must be consecutive numbers.
+    """
+    number = F.col("_before") + F.col(line) - F.col("_low") + 1
     return (
         rows.join(offsets, list(origin))
-        .withColumn("row_order", row_order)
-        .withColumn(text_id, F.format_string("%06d", "row_order"))
-        .drop("_generated", "_low", "_rows", "_before", *origin)
+        .withColumn("row_number", number)
+        .withColumn(text_id, F.format_string("%06d", "row_number"))
+        .drop("_low", "_before", *origin, line)
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.constants import LOW_LEVEL_CODES, LOW_LEVEL_PATTERNS
@@ -39,9 +39,9 @@ def rule_tag(
     """Add a true/false column from rules (charge, include, match_type).
 
     A code is tagged if an include rule hits it and no exclude rule does. Exact rules are
-    joined. Partial rules are hand-written search patterns, so they become part of the plan;
-    `mode` says whether they are read as regular expressions or as plain text. The added
-    patterns are always regular expressions.
+    joined. Partial rules are search patterns of a hand-written list: they are read once, while
+    the plan is made, and become part of it as one array. `mode` says whether they are read as
+    regular expressions or as plain text. The added patterns are always regular expressions.
     """
 
     def rules_of(action: str, match: str) -> DataFrame:
@@ -49,8 +49,10 @@ def rule_tag(
             "charge"
         )
 
-    def patterns_of(action: str) -> list[str]:
-        return [row.charge for row in rules_of(action, "Partial").filter("charge is not null").collect()]
+    partial = rules.filter("match_type = 'Partial' and charge is not null").select("include", "charge").collect()
+
+    def patterns_of(action: str) -> Column:
+        return F.array(*[F.lit(r.charge) for r in partial if r.include == action]).cast("array<string>")
 
     included = (
         F.col("_include")

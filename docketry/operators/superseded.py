@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators.rollup import first_per_group
-from docketry.store import materialise
 
 
 def superseded_keys(df: DataFrame, key: str, interim: Column) -> DataFrame:
     """Keys with an interim row and more than one row; `all_interim` tells if nothing else is there.
 
-    A count per key with partial counts on the map side, so a key with very many rows is no
-    heavier than others. The result is written: joined as a plain table, Spark can broadcast
-    it by its size or split a heavy key of the other side.
+    Only rows whose key has an interim row are counted, the others leave before the count. A
+    count per key has partial counts on the map side, so a key with very many rows is no
+    heavier than others. Write the result before joining it: as a plain table, Spark can
+    broadcast it by its size or split a heavy key of the other side.
     """
-    counted = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.count_if(interim).alias("_interim"))
+    asked = df.filter(interim).select(key).distinct()
+    return (
+        df.select(key, F.coalesce(interim, F.lit(False)).alias("_is_interim"))
+        .join(asked, key, "left_semi")
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.count_if("_is_interim").alias("_interim"))
         .filter("_interim > 0 and _rows > 1")
         .select(key, (F.col("_interim") == F.col("_rows")).alias("all_interim"))
     )
-    return materialise(counted, "superseded")
 
 
 def surviving_interim_rows(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.operators.ordinal import with_row_ids
+from docketry.operators.ordinal import ORIGIN
 from docketry.operators.rules import exact_tag, rule_tag
 from docketry.plans.keys import add_code_keys, is_interim
 from docketry.plans.tables import ChargeTables
@@ -53,6 +53,9 @@ def stack_parts(parts: Mapping[str, DataFrame], columns: list[str] | None = None
 
     Parts with a known place in their file also get the number of the part, for row order.
     """
+    digits = [tag[4:5] for tag in parts]
+    if len(set(digits)) < len(digits):
+        raise ValueError(f"part tags must differ in the digit that starts their ids: {list(parts)}")
     stacked = None
     for number, (tag, part) in enumerate(parts.items()):
         aligned = align_part(part, tag, columns)
@@ -76,32 +79,43 @@ def build_charges(
     lists: CodeLists,
     codes: DataFrame | None = None,
     keep_one_if_all_superseded: bool = False,
+    placed: bool = False,
 ) -> ChargeTables:
     """Build the fact table from stacked parts with a `row_order` column.
 
     `codes` may name a cheaper source of every (code, section, charge_level) in the data than
-    the data itself.
+    the data itself; a charge whose code it lacks ends the build.
 
     The charges are written once, laid out by part and by interim status. Removing superseded
-    rows then only rewrites the few interim rows; the others are never moved for it.
+    rows then only rewrites the few interim rows; the others are never moved for it. Before
+    that they are rebalanced by size, not by key.
     """
     stacked_codes = (stacked if codes is None else codes).select("code", "section", "charge_level")
     distinct_codes = add_code_keys(stacked_codes).select("code_section", "code_section_m_f").distinct()
     tagged_codes = materialise(tag_codes(distinct_codes, lists), "codes")
 
+    known = F.when(F.col("_tagged"), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("the source of codes lacks "), "code_section_m_f")).cast("boolean")
+    )
     tagged = (
         add_code_keys(stacked)
-        .join(tagged_codes, ["code_section", "code_section_m_f"], "left")
-        .na.fill(False, list(TAGS))
+        .join(tagged_codes.withColumn("_tagged", F.lit(True)), ["code_section", "code_section_m_f"], "left")
+        .withColumns({tag: known & F.col(tag) for tag in TAGS})
         .withColumn("interim", is_interim())
         .select(*stacked.columns, *TAGS, "interim")
     )
     layout = ("data_part", "interim")
-    stored = materialise(tagged.hint("rebalance", *layout), "charges", layout)
+    stored = materialise(tagged.hint("rebalance"), "charges", layout)
 
-    return ChargeTables(stored, lists.code_table, keep_one_if_all_superseded)
+    return ChargeTables(stored, lists.code_table, keep_one_if_all_superseded, placed)
 
 
 def build_from_parts(parts: Mapping[str, DataFrame], lists: CodeLists, **options) -> ChargeTables:
-    """Stack parts read from files, number their rows and build the fact table."""
-    return build_charges(with_row_ids(stack_parts(parts)), lists, **options)
+    """Stack parts read from files and build the fact table; rows keep the order of parts, files and lines.
+
+    A row's place in that order is stored beside it, so the rows are written once; their numbers
+    are worked out from the places when they are asked for.
+    """
+    stacked = stack_parts(parts)
+    rows = stacked.withColumn("row_order", F.struct(*[F.col(c).alias(c.strip("_")) for c in ORIGIN]))
+    return build_charges(rows.drop(*ORIGIN), lists, placed=True, **options)

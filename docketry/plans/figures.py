@@ -12,8 +12,8 @@ from docketry.constants import (
     OUTCOME_CLASSES,
 )
 from docketry.functions.exprs import count_label, percent_text, ratio, recode
-from docketry.operators.frequency import freq_table
-from docketry.plans.analyses import OFFENCE, charge_count, top_diverted
+from docketry.operators.frequency import with_percent
+from docketry.plans.analyses import OFFENCE, top_diverted
 from docketry.plans.tables import ChargeTables
 
 
@@ -26,18 +26,22 @@ def _position(value: str, order: list[str]) -> Column:
 def charge_types(t: ChargeTables, sort: bool = True) -> DataFrame:
     """Charge-type figure: four types over all charges, serious felonies over adult ones.
 
-    Both populations are counted in one pass and then turned into rows.
+    Both populations come from the charges' tallies and are then turned into rows.
     """
     adult = F.col("data_part").isin(*ADULT_PARTS)
     level = F.col("charge_level")
-    counts = t.charges.agg(
-        F.count(F.lit(1)).alias("all_rows"),
-        F.count_if(adult).alias("adult_rows"),
-        F.count_if(level == "F").alias("felonies"),
-        F.count_if(level == "M").alias("misdemeanors"),
-        F.count_if(level == "I").alias("infractions"),
-        F.count_if(adult & F.col("svf")).alias("serious_or_violent"),
-        F.count_if("low_level").alias("low_level"),
+
+    def charges_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    counts = t.tallies.agg(
+        charges_where(F.lit(True)).alias("all_rows"),
+        charges_where(adult).alias("adult_rows"),
+        charges_where(level == "F").alias("felonies"),
+        charges_where(level == "M").alias("misdemeanors"),
+        charges_where(level == "I").alias("infractions"),
+        charges_where(adult & F.col("svf")).alias("serious_or_violent"),
+        charges_where(F.col("low_level")).alias("low_level"),
     )
     names = [name for name, _, _ in CHARGE_TYPES]
     rows = counts.unpivot(["all_rows", "adult_rows"], names, "type", "n")
@@ -81,8 +85,8 @@ def outcomes(t: ChargeTables, sort: bool = True) -> DataFrame:
     named = {result: text for result, text in OUTCOME_CLASSES if result is not None}
     result = F.col("result_description")
     simple = F.when(result.isin(*named), recode(result, named)).otherwise(fold)
-    folded = t.charges.select(simple.alias("result_simple"))
-    table = freq_table(folded, "result_simple", sort=False)
+    counts = t.tallies.groupBy(simple.alias("result_simple")).agg(F.sum("n").alias("n"))
+    table = with_percent(counts)
     order = _position("result_simple", [text for _, text in OUTCOME_CLASSES])
     figure = table.withColumn("sort_order", order)
     return figure.orderBy("sort_order") if sort else figure
@@ -113,7 +117,7 @@ def bar_labels(t: ChargeTables) -> DataFrame:
     results = outcomes(t, sort=False).select(
         F.lit("outcomes").alias("figure"),
         F.col("result_simple").alias("category"),
-        count_label(F.col("n"), charge_count(t).scalar(), "charges").alias("bar_label"),
+        count_label(F.col("n"), t.tallies.agg(F.sum("n")).scalar(), "charges").alias("bar_label"),
     )
     diverted = diverted_offences(t, sort=False).select(
         F.lit("diverted_offences").alias("figure"),

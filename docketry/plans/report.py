@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -56,6 +56,26 @@ ANALYSES: dict[str, Callable[[ChargeTables], DataFrame]] = {
 }
 
 
-def report(tables: ChargeTables) -> dict[str, DataFrame]:
-    """All analyses with the parameters of the study; nothing runs until a frame is used."""
-    return {name: analysis(tables) for name, analysis in ANALYSES.items()}
+class Report(Mapping[str, DataFrame]):
+    """All analyses by name, with the parameters of the study.
+
+    Nothing runs until an analysis is looked up; then the roll-ups it needs are written, once
+    for all analyses.
+    """
+
+    def __init__(self, tables: ChargeTables):
+        self.tables = tables
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return ANALYSES[name](self.tables)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(ANALYSES)
+
+    def __len__(self) -> int:
+        return len(ANALYSES)
+
+
+def report(tables: ChargeTables) -> Report:
+    """The report over one set of tables."""
+    return Report(tables)

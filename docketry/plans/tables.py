@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docketry.constants import DISMISSED, DIVERSION
 from docketry.functions.exprs import distinct_count, if_else, ratio, strict_sum
 from docketry.operators.dictionary import code_table_keys, describe, merge_texts
+from docketry.operators.ordinal import ORIGIN, origin_offsets, sorted_ranges, with_row_numbers
 from docketry.operators.rollup import entity_rollup, first_per_group
 from docketry.operators.superseded import superseded_keys, surviving_interim_rows
 from docketry.plans.keys import add_keys, charge_id
@@ -25,6 +26,7 @@ class ChargeTables:
     stored: DataFrame  # every row as stacked, with its tags and whether it is interim
     code_table: DataFrame
     keep_one_if_all_superseded: bool = False
+    placed: bool = False  # row_order holds part, file, block and line
 
     @property
     def parts(self) -> DataFrame:
@@ -43,17 +45,52 @@ class ChargeTables:
         Only the interim rows are looked at one by one and rewritten; the others are read as
         they are stored.
         """
-        identified = self.stored.withColumn("charge_id", charge_id())
-        surviving = surviving_interim_rows(
-            identified.filter("interim"),
-            superseded_keys(identified, "charge_id", F.col("interim")),
-            "charge_id",
-            self.keep_one_if_all_superseded,
-        )
-        surviving = materialise(surviving.select(*self.stored.columns), "surviving")
+        return self._without_superseded(self._surviving(self.keep_one_if_all_superseded))
+
+    @cached_property
+    def charges_keep_one(self) -> DataFrame:
+        """The charges if one that has interim rows only keeps the first of them."""
+        return self._without_superseded(self._surviving(True))
+
+    @cached_property
+    def superseded(self) -> DataFrame:
+        """The charges with an interim row and more than one row."""
+        return materialise(superseded_keys(self._identified, "charge_id", F.col("interim")), "superseded")
+
+    @property
+    def _identified(self) -> DataFrame:
+        return self.stored.withColumn("charge_id", charge_id())
+
+    def _surviving(self, keep_one: bool) -> DataFrame:
+        rows = surviving_interim_rows(self._identified.filter("interim"), self.superseded, "charge_id", keep_one)
+        return materialise(rows.select(*self.stored.columns), "surviving")
+
+    def _without_superseded(self, surviving: DataFrame) -> DataFrame:
         rows = self.stored.filter(~F.col("interim")).unionByName(surviving)
         return add_keys(rows.drop("interim"))
 
+    def with_row_numbers(self, df: DataFrame) -> DataFrame:
+        """Add row_number and unique_id, the place of a row among all charges in `row_order`.
+
+        Rows placed by file and line add their file split's offset; others, whose `row_order`
+        must be a key, are looked up among the sorted ones.
+        """
+        if not self.placed:
+            return df.join(self._sorted_numbers, "row_order")
+        fields = {c: F.col(f"row_order.{c.strip('_')}") for c in ORIGIN}
+        return with_row_numbers(df.withColumns(fields), self._offsets, ORIGIN[:-1], ORIGIN[-1])
+
+    @cached_property
+    def _offsets(self) -> DataFrame:
+        fields = [F.col(f"row_order.{c.strip('_')}").alias(c) for c in ORIGIN]
+        return materialise(origin_offsets(self.stored.select(*fields), ORIGIN[:-1], ORIGIN[-1]), "offsets")
+
+    @cached_property
+    def _sorted_numbers(self) -> DataFrame:
+        ranges = materialise(sorted_ranges(self.stored.select("row_order"), "row_order"), "ranges")
+        offsets = materialise(origin_offsets(ranges, ["_range"], "_generated"), "offsets")
+        return with_row_numbers(ranges, offsets, ["_range"], "_generated")
+
     @cached_property
     def texts(self) -> DataFrame:
         """One offence text per key."""
@@ -109,7 +146,15 @@ class ChargeTables:
         count = self.all_charges.agg(distinct_count("person_id").alias("persons"))
         return materialise(count, "person_count")
 
+    @cached_property
+    def tallies(self) -> DataFrame:
+        """Charges per part, level, tags and result: what the charge figures are made from."""
+        keys = ("data_part", "charge_level", "svf", "low_level", "result_description")
+        return materialise(self.charges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "tallies")
+
     def fact(self) -> DataFrame:
-        """The cleaned charges with all columns of the fact table that the data has."""
+        """The cleaned charges with all columns of the fact table; an absent column is an error."""
         described = self.describe(self.charges)
-        return described.select(*[c for c in CHARGE_FACT_COLUMNS if c in described.columns])
+        if missing := [c for c in CHARGE_FACT_COLUMNS if c not in described.columns and c != "unique_id"]:
+            raise ValueError(f"the charges lack columns of the fact table: {missing}")
+        return self.with_row_numbers(described).select(*CHARGE_FACT_COLUMNS)

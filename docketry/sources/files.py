@@ -44,20 +44,28 @@ def clean_names(df: DataFrame) -> DataFrame:
 def read_part(spark: SparkSession, path: str, tag: str, fmt: str = "csv", **options) -> DataFrame:
     """Read one record part and tag its rows with their origin.
 
-    Columns are found by header name, whatever their order, and cast to the declared types.
+    Columns are found by header name, whatever their order, and cast to the declared types. All
+    CSV files of a part must have the same header, another one ends the read. A cell that is no
+    number or date where one is declared ends it too, as the session's ANSI mode has it; read the
+    part with `spark.sql.ansi.enabled` off to get missing values instead.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, **_CSV)
+        reader = reader.options(header=True, enforceSchema=False, **_CSV)
     df = reader.options(**options).load(path)
-    origin = df.select("*", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    part = clean_names(origin).withColumnsRenamed({"file_path": "_file", "file_block_start": "_block"})
+    line = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
+    block = F.lit(0).cast("bigint") if fmt == "parquet" else F.col("_metadata.file_block_start")
+    origin = df.select("*", F.col("_metadata.file_path"), block.alias("file_block_start"), line.alias("file_line"))
+    part = clean_names(origin).withColumnsRenamed(
+        {"file_path": "_file", "file_block_start": "_block", "file_line": "_line"}
+    )
     declared = [f for f in CHARGE_PART if f.name in part.columns and f.name != "data_part"]
     return part.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared],
         F.lit(tag).alias("data_part"),
         "_file",
         "_block",
+        "_line",
     )
 
 

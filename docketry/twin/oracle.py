@@ -8,13 +8,44 @@ from __future__ import annotations
 
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
 
-_SECTION = """concat(cast(p_size % 5 as varchar), '(',
-           substr('ABC', cast(p_partkey % 3 as int) + 1, 1), ')')"""
+# The codes that the model names, by p_partkey % 40; the first eight have texts
+# entered by hand.
+_NAMED = """(values
+  (0, 'HS', '11364', 'M'), (1, 'HS', '11377', 'M'), (2, 'VC', '12500(A)', 'I'),
+  (3, 'PC', '484(A)&490.2', 'M'), (4, 'PC', '594(A)', 'M'), (5, 'VC', '16028(A)', 'I'),
+  (6, 'HS', '11350', 'M'), (7, 'HS', '11377', 'F'), (8, 'HS', '11550(A)', 'M'),
+  (9, 'VC', '23152(A)', 'M'), (10, 'VC', '14601.1(A)', 'M'), (11, 'PC', '485&490.2', 'M'),
+  (12, 'PC', '422', 'F'), (13, 'PC', '592.2', 'M'), (14, 'PC', '485', 'M'), (15, 'PC', '490.2', 'M'),
+  (16, 'PC', '245(A)(4)', 'F'))"""
 
-_LEVEL = "case when p_size <= 30 then 'M' when p_size <= 46 then 'F' else 'I' end"
+# Texts entered by hand, and the short texts of the diversion figure.
+_HAND_ENTERED = """(values
+  ('HS_11364_M', 'misd. paraphernalia -- HS_11364_M'),
+  ('HS_11377_M', 'misd. cont. sub. poss. -- HS_11377_M'),
+  ('VC_12500(A)_I', 'infr. drive w/o license -- VC_12500(A)_I'),
+  ('PC_484(A)&490.2_M', 'misd. petty theft: - $950 -- PC_484(A)&490.2_M'),
+  ('PC_594(A)_M', 'misd. vandalism property -- PC_594(A)_M'),
+  ('VC_16028(A)_I', 'infr. driving w/o insurance -- VC_16028(A)_I'),
+  ('HS_11350_M', 'broadly misd. possession (narcotic, MECLOQUALONE/METHAQUALONE/ETC) -- HS_11350_M'),
+  ('HS_11377_F', 'fel. possess controlled subst. HS_11377_F'))"""
+_SHORT_TEXTS = """(values
+  ('misd. cont. sub. poss. -- HS_11377_M', concat('Possess controlled substance ', chr(10), ' HS 11377')),
+  ('misd. paraphernalia -- HS_11364_M', concat('Paraphernalia possession ', chr(10), ' HS 11364')),
+  ('broadly misd. possession (narcotic, MECLOQUALONE/METHAQUALONE/ETC) -- HS_11350_M',
+   concat('Possess narcotic ', chr(10), ' HS 11350')),
+  ('use/under influence of controlled substance -- HS_11550(A)_M',
+   concat('Use of a controlled substance ', chr(10), ' HS 11550(a)')),
+  ('dui alcohol -- VC_23152(A)_M', concat('DUI ', chr(10), ' VC 23152(a)')))"""
 
 _BASE = f"""
-with raw as (
+with named(k, code, section, level) as (select * from {_NAMED}),
+parts as (
+  select p_partkey, p_name, coalesce(n.code, p_type) as p_code,
+    coalesce(n.section, concat(cast(p_size % 5 as varchar), '(',
+      substr('ABC', cast(p_partkey % 3 as int) + 1, 1), ')')) as p_section,
+    coalesce(n.level, case when p_size <= 30 then 'M' when p_size <= 46 then 'F' else 'I' end) as p_level
+  from part left join named n on p_partkey % 40 = n.k),
+raw as (
   select {_ORDER},
     case l_orderkey % 5 when 0 then 'part1' when 1 then 'part3' when 2 then 'part4'
                         when 3 then 'part5' else 'part6' end as part_tag,
@@ -23,10 +54,16 @@ with raw as (
     case when o_orderstatus = 'F' then 'F' else 'M' end as case_level,
     cast(case when o_custkey % 97 = 0 then null else 5 + o_custkey % 90 end as integer)
       as age_at_time_of_crime,
-    case when p_partkey % 397 = 0 then null else {_LEVEL} end as charge_level,
-    case when p_partkey % 211 = 0 then null else p_type end as code,
-    {_SECTION} as section,
-    case l_linenumber % 4 when 0 then 'NG' when 1 then 'PG' when 2 then 'XX' end as plea,
+    case when p_partkey % 397 = 0 then null else p_level end as charge_level,
+    case when p_partkey % 211 = 0 then null else p_code end as code,
+    p_section as section,
+    case o_custkey % 3 when 0 then 'M' when 1 then 'F' end as sex,
+    case when l_orderkey % 5 <> 0 then 'criminal' end as case_type,
+    case when l_orderkey % 5 = 0 then 'motion' end as case_category_description,
+    cast(l_linenumber as integer) as count_no,
+    concat(l_returnflag, l_linestatus) as result, cast(l_shipdate as timestamp) as result_date,
+    case (l_linenumber + l_partkey) % 9 when 0 then 'DA' when 1 then 'IN' when 2 then 'NC'
+      when 3 then 'NE' when 4 then 'NG' when 5 then 'NI' when 6 then 'PG' when 7 then 'XX' end as plea,
     case when l_returnflag = 'R' then 'Dismissed'
          when l_returnflag = 'A' and l_linestatus = 'F' then 'Convicted'
          when l_returnflag = 'A' then 'Held To Answer in Superior Court'
@@ -35,7 +72,7 @@ with raw as (
     case when l_linenumber = 7 then 'CITY' end as charge_city,
     case when o_custkey % 5 < 2 then null
          else concat(cast(90000 + o_custkey % 1000 as varchar), '-1234') end as full_zip
-  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+  from lineitem join orders on l_orderkey = o_orderkey join parts on l_partkey = p_partkey),
 keyed as (
   select *, concat(coalesce(code, 'NA'), '_', section) as code_section,
     concat(substr(part_tag, 5, 1), '_', masked_case_no) as case_id,
@@ -44,8 +81,11 @@ keyed as (
     case part_tag when 'part1' then 'juvenile_motion_to_transfer'
       when 'part3' then 'juvenile_misdemeanors' when 'part4' then 'juvenile_felonies'
       when 'part5' then 'adult_misdemeanors' else 'adult_felonies' end as data_part,
-    case plea when 'NG' then 'Not guilty' when 'PG' then 'Plead guilty' else plea end
-      as plea_description,
+    -- fixed values: plea texts
+    case plea when 'DA' then 'Denies allegations' when 'IN' then 'Not guilty by reason of insanity'
+      when 'NC' then 'Nolo contendere' when 'NE' then 'Not guilty entered by court'
+      when 'NG' then 'Not guilty' when 'NI' then 'Not guilty and not guilty by reason of insanity'
+      when 'PG' then 'Plead guilty' else plea end as plea_description,
     case when age_at_time_of_crime between 11 and 17 then 'minor_11-17'
          when age_at_time_of_crime between 18 and 25 then 'young_adult_18-25'
          when age_at_time_of_crime between 26 and 90 then 'adult_26-90'
@@ -68,6 +108,7 @@ code_tags as (
     (exists (select 1 from rules r where r.include = 'Include' and
         (r.match_type = 'Exact' and r.charge = c.code_section
          or r.match_type = 'Partial' and regexp_matches(c.code_section, r.charge)))
+      -- fixed values: the added patterns and code
       or regexp_matches(c.code_section, '14601|485|422|592.2|490.2')
       or c.code_section = 'PC_485&490.2')
     and not exists (select 1 from rules r where r.include = 'Exclude' and
@@ -90,14 +131,17 @@ charges as (
              and charge_rows > 1)),
 code_table as (
   select min(p_partkey) as row_order,
-    concat(p_type, '_', {_SECTION}, '_', {_LEVEL}) as key, lower(p_name) as text
-  from part group by 2, 3),
+    concat(p_code, '_', p_section, '_', p_level) as key,
+    case p_section when '11550(A)' then 'use/under influence of controlled substance'
+      when '23152(A)' then 'dui alcohol' else lower(p_name) end as text
+  from parts where p_partkey % 40 >= 8 group by 2, 3),
 texts as (
   select key, concat(string_agg(text, ' and/or ' order by row_order), ' -- ', key) as text
   from code_table group by key),
 offences as (
-  select c.key, coalesce(t.text, c.key) as offense_description
-  from (select distinct key from all_charges) c left join texts t on c.key = t.key),
+  select c.key, coalesce(h.text, t.text, c.key) as offense_description
+  from (select distinct key from all_charges) c left join texts t on c.key = t.key
+  left join {_HAND_ENTERED} h(key, text) on c.key = h.key),
 described as (
   select c.*, o.offense_description from charges c join offences o on c.key = o.key),
 persons as (
@@ -168,13 +212,29 @@ _OUTCOMES = """outcomes as (
                     else 'Other' end as result_simple from charges)
   group by result_simple)"""
 
-_DIVERTED = """diverted_offences as (
-  select offense_description, diverted, total, diverted / total as pct_diverted
+_DIVERTED = f"""diverted_offences as (
+  select coalesce(s.short, offense_description) as offense_description, diverted, total,
+    diverted / total as pct_diverted
   from (select offense_description, count(*) as diverted from described
         where result_description = 'Diversion' group by offense_description)
   join (select offense_description, count(*) as total from described group by offense_description)
     using (offense_description)
-  order by diverted desc, offense_description limit 5)"""
+  left join {_SHORT_TEXTS} s(long, short) on offense_description = s.long
+  order by diverted desc, coalesce(s.long, offense_description) limit 5)"""
+
+
+_MANY_RULES = """, many(charge, include) as (
+  select concat('^', list_extract(['ECONOMY', 'LARGE', 'PROMO', 'SMALL', 'STANDARD'], k % 5 + 1), '_',
+      cast(k // 5 % 5 as varchar), '[(]', substr('ABC', cast(k // 25 % 3 + 1 as int), 1),
+      case when k < 90 then '' else concat('rule', cast(k as varchar)) end),
+    case when k % 7 = 0 then 'Exclude' else 'Include' end
+  from range(250) r(k))
+select code_section, n,
+  (exists (select 1 from many where include = 'Include' and regexp_matches(c.code_section, charge))
+   or regexp_matches(c.code_section, '14601|485|422|592.2|490.2') or c.code_section = 'PC_485&490.2')
+  and not exists (select 1 from many where include = 'Exclude' and regexp_matches(c.code_section, charge))
+    as low_level
+from (select code_section, count(*) as n from all_charges group by code_section) c"""
 
 
 def _rule_tags(partial: str) -> str:
@@ -182,7 +242,7 @@ def _rule_tags(partial: str) -> str:
   (exists (select 1 from rules r where r.include = 'Include' and
      (r.match_type = 'Exact' and r.charge = c.code_section
       or r.match_type = 'Partial' and {partial}))
-   or regexp_matches(c.code_section, '14601|485|422|592.2|490.2'))
+   or regexp_matches(c.code_section, '14601|485|422|592.2|490.2') or c.code_section = 'PC_485&490.2')
   and not exists (select 1 from rules r where r.include = 'Exclude' and
      (r.match_type = 'Exact' and r.charge = c.code_section
       or r.match_type = 'Partial' and {partial})) as low_level
@@ -349,15 +409,20 @@ from all_charges group by data_part, plea, plea_description""",
 from charges group by all""",
     "rule_tags_regex": _rule_tags("regexp_matches(c.code_section, r.charge)"),
     "rule_tags_literal": _rule_tags("contains(c.code_section, r.charge)"),
+    "rule_tags_many": _MANY_RULES,
     "code_dictionary": "select key, text as offense_description from texts",
     "enriched_descriptions": """select key, offense_description, count(*) as n,
   count(*) / sum(count(*)) over () * 100 as pct
 from described group by key, offense_description""",
-    "fact_table": """select data_part, masked_case_no, defendant_no, case_level,
-  age_at_time_of_crime, charge_level, code, section, plea, result_description, charge_city,
-  minor_zip_code, code_section, code_section_m_f, age_group, charge_id, person_id, case_id,
+    "fact_table": f"""select data_part, masked_case_no, defendant_no, case_type, case_level, sex,
+  age_at_time_of_crime, charge_level, count_no, code, section, plea, result, result_description,
+  result_date, charge_city, minor_zip_code, case_category_description,
+  (select printf('%06d', rn) from (select {_ORDER}, row_number() over (order by {_ORDER}) as rn from all_charges) r
+   where (r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_shipdate, r.l_extendedprice)
+     = (d.l_orderkey, d.l_linenumber, d.l_partkey, d.l_suppkey, d.l_shipdate, d.l_extendedprice)) as unique_id,
+  code_section, code_section_m_f, age_group, charge_id, person_id, case_id,
   plea_description, wobbler, low_level, svf, key, offense_description
-from described""",
+from described d""",
     "drop_superseded": f"select {_REMAINING} from charges",
     "drop_superseded_keep_one": f"""select {_REMAINING} from (
   select *, row_number() over (partition by charge_id order by {_ORDER}) as rn from counted)

@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 from docketry.functions.exprs import distinct_count
 from docketry.operators.dictionary import code_table_keys, merge_texts
 from docketry.operators.frequency import freq_table
-from docketry.operators.ordinal import with_sorted_row_ids
 from docketry.operators.rules import exact_tag, rule_tag
-from docketry.operators.superseded import drop_superseded
 from docketry.plans import analyses as a
 from docketry.plans.build import stack_parts
-from docketry.plans.keys import is_interim
 from docketry.plans.report import ANALYSES
 from docketry.plans.tables import ChargeTables
 from docketry.twin import tables as twin
@@ -67,8 +64,9 @@ ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "
 
 def row_ids(t: ChargeTables) -> DataFrame:
     """All charges numbered in their order, with the zero-padded text id."""
-    rows = t.all_charges.select("row_order.*", "charge_id")
-    return with_sorted_row_ids(rows, *ORDER).drop("l_shipdate", "l_extendedprice")
+    rows = t.with_row_numbers(t.all_charges.select("row_order", "charge_id"))
+    order = [F.col(f"row_order.{c}") for c in ORDER[:4]]
+    return rows.select(*order, "charge_id", "unique_id", F.col("row_number").alias("row_order"))
 
 
 def composite_ids(t: ChargeTables) -> DataFrame:
@@ -95,14 +93,15 @@ def exact_tags(t: ChargeTables) -> DataFrame:
     return t.charges.groupBy(*tags).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rule_tags(mode: str) -> Query:
+def rule_tags(mode: str, many: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rules = twin.many_rules(spark) if many else twin.code_lists(spark, sf_dir).rules
         counts = (
             twin.charge_tables(spark, sf_dir)
             .all_charges.groupBy("code_section")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        return rule_tag(counts, twin.code_lists(spark, sf_dir).rules, mode=mode)
+        return rule_tag(counts, rules, mode=mode)
 
     return query
 
@@ -122,12 +121,8 @@ def remaining_rows(t: ChargeTables) -> DataFrame:
 
 def remaining_rows_keep_one(t: ChargeTables) -> DataFrame:
     """Rows that stay if a charge with interim rows only keeps the first of them."""
-    columns = ["charge_id", "row_order", "result_description"]
-    rows = drop_superseded(
-        t.all_charges.select(*columns), "charge_id", is_interim(), keep_one_if_all_superseded=True
-    )
     order = [F.col(f"row_order.{c}") for c in ORDER[:4]]
-    return rows.select(*order, "charge_id", "result_description")
+    return t.charges_keep_one.select(*order, "charge_id", "result_description")
 
 
 QUERIES: dict[str, Query] = {
@@ -141,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "exact_tags": _over_tables(exact_tags),
     "rule_tags_regex": rule_tags("regex"),
     "rule_tags_literal": rule_tags("literal"),
+    "rule_tags_many": rule_tags("regex", many=True),
     "code_dictionary": code_dictionary,
     "enriched_descriptions": _over_tables(enriched_descriptions),
     "fact_table": _over_tables(ChargeTables.fact),

@@ -3,12 +3,33 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.constants import HAND_ENTERED_OFFENCES, PLEA_TEXTS
 from docketry.plans.build import CodeLists, build_charges
 from docketry.plans.tables import ChargeTables
 
+# The known pleas, and one that has no text; the ninth place is a missing plea.
+PLEAS = (*PLEA_TEXTS, "XX")
+
+# Codes that the fixed values of the model name, with section and level. Parts whose key leaves
+# their place (modulo NAMED_EVERY) have them; those the code table must not know come first.
+NAMED_CODES = (
+    *[(*key.split("_")[:2], key.split("_")[2]) for key in HAND_ENTERED_OFFENCES],
+    ("HS", "11550(A)", "M"),
+    ("VC", "23152(A)", "M"),
+    ("VC", "14601.1(A)", "M"),
+    ("PC", "485&490.2", "M"),
+    ("PC", "422", "F"),
+    ("PC", "592.2", "M"),
+    ("PC", "485", "M"),
+    ("PC", "490.2", "M"),
+    ("PC", "245(A)(4)", "F"),
+)
+NAMED_EVERY = 40
+PART_TYPES = ("ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD")
+
 WOBBLERS = ("PROMO_0(A)", "LARGE_1(B)", "SMALL_3(C)", "NA_2(A)")
 SERIOUS = ("F_PROMO_0(A)", "F_STANDARD_2(B)", "F_ECONOMY_4(C)")
 RULES = (
@@ -32,19 +53,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def part_codes(part: DataFrame) -> DataFrame:
-    """The code, section and level a part stands for."""
+def _named(field: int) -> Column:
+    """The code, section or level of a part that has one of the named codes, else missing."""
+    values = F.array(*[F.lit(named[field]) for named in NAMED_CODES])
+    return F.get(values, (F.col("p_partkey") % NAMED_EVERY).cast("int"))
+
+
+def _own() -> dict[str, Column]:
+    """The code, section and level a part has by its type, size and key."""
     size = F.col("p_size")
     letter = F.substring(F.lit("ABC"), F.pmod("p_partkey", F.lit(3)).cast("int") + 1, F.lit(1))
+    return {
+        "code": F.col("p_type"),
+        "section": F.concat((size % 5).cast("string"), F.lit("("), letter, F.lit(")")),
+        "charge_level": F.when(size <= 30, "M").when(size <= 46, "F").otherwise("I"),
+    }
+
+
+def part_codes(part: DataFrame) -> DataFrame:
+    """The code, section and level a part stands for; some parts lack code or level."""
+    code, section, level = (F.coalesce(_named(i), own) for i, own in enumerate(_own().values()))
     return part.select(
         "p_partkey",
-        F.when(F.col("p_partkey") % 211 != 0, F.col("p_type")).alias("code"),
-        F.concat((size % 5).cast("string"), F.lit("("), letter, F.lit(")")).alias("section"),
-        F.when(F.col("p_partkey") % 397 == 0, None)
-        .when(size <= 30, "M")
-        .when(size <= 46, "F")
-        .otherwise("I")
-        .alias("charge_level"),
+        F.when(F.col("p_partkey") % 211 != 0, code).alias("code"),
+        section.alias("section"),
+        F.when(F.col("p_partkey") % 397 != 0, level).alias("charge_level"),
     )
 
 
@@ -68,10 +101,18 @@ def charge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_custkey") % 97 != 0, (F.col("o_custkey") % 90 + 5).cast("int")).alias(
             "age_at_time_of_crime"
         ),
+        F.get(F.array(F.lit("M"), F.lit("F")), (F.col("o_custkey") % 3).cast("int")).alias("sex"),
+        F.when(F.col("l_orderkey") % 5 != 0, "criminal").alias("case_type"),
+        F.when(F.col("l_orderkey") % 5 == 0, "motion").alias("case_category_description"),
+        F.col("l_linenumber").cast("int").alias("count_no"),
+        F.concat("l_returnflag", "l_linestatus").alias("result"),
+        F.col("l_shipdate").cast("timestamp").alias("result_date"),
         "charge_level",
         "code",
         "section",
-        F.get(F.array(F.lit("NG"), F.lit("PG"), F.lit("XX")), F.col("l_linenumber") % 4).alias("plea"),
+        F.get(
+            F.array(*[F.lit(p) for p in PLEAS]), ((F.col("l_linenumber") + F.col("l_partkey")) % 9).cast("int")
+        ).alias("plea"),
         F.when(flag == "R", "Dismissed")
         .when((flag == "A") & (status == "F"), "Convicted")
         .when(flag == "A", "Held To Answer in Superior Court")
@@ -90,19 +131,20 @@ def code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A code table with the distinct texts of each code, in the order of their first part.
 
     Its blanks and capitals are what the key and text clean-up is for. Charges without code or
-    level find no text in it.
+    level, and those with a text entered by hand, find no text in it.
     """
-    size = F.col("p_size")
-    letter = F.substring(F.lit("ABC"), F.pmod("p_partkey", F.lit(3)).cast("int") + 1, F.lit(1))
+    code, section, level = (F.coalesce(_named(i), own) for i, own in enumerate(_own().values()))
+    known = F.col("p_partkey") % NAMED_EVERY >= len(HAND_ENTERED_OFFENCES)
+    text = F.when(_named(1) == "11550(A)", "Use/Under Influence of Controlled Substance")
+    text = text.when(_named(1) == "23152(A)", "DUI Alcohol").otherwise(F.upper("p_name"))
     return (
         read(spark, sf_dir, "part")
+        .filter(known)
         .groupBy(
-            F.col("p_type").alias("penal_code"),
-            F.concat(
-                F.lit(" "), (size % 5).cast("string"), F.lit("("), letter, F.lit(") ")
-            ).alias("offense_number"),
-            F.when(size <= 30, "M").when(size <= 46, "F").otherwise("I").alias("m_f"),
-            F.upper("p_name").alias("offense_description"),
+            code.alias("penal_code"),
+            F.concat(F.lit(" "), section, F.lit(" ")).alias("offense_number"),
+            level.alias("m_f"),
+            text.alias("offense_description"),
         )
         .agg(F.min("p_partkey").alias("row_order"))
     )
@@ -119,6 +161,20 @@ def code_lists(spark: SparkSession, sf_dir: str, match_mode: str = "regex") -> C
     )
 
 
+def many_rules(spark: SparkSession, n: int = 250) -> DataFrame:
+    """`n` partial rules: 90 of them fit codes of the parts, every seventh excludes."""
+    k = F.col("id")
+    kind = F.get(F.array(*[F.lit(t) for t in PART_TYPES]), (k % 5).cast("int"))
+    digit = F.expr("id div 5 % 5").cast("string")
+    letter = F.substring(F.lit("ABC"), F.expr("id div 25 % 3").cast("int") + 1, F.lit(1))
+    tail = F.when(k < 90, F.lit("")).otherwise(F.concat(F.lit("rule"), k.cast("string")))
+    return spark.range(n).select(
+        F.concat(F.lit("^"), kind, F.lit("_"), digit, F.lit("[(]"), letter, tail).alias("charge"),
+        F.when(k % 7 == 0, "Exclude").otherwise("Include").alias("include"),
+        F.lit("Partial").alias("match_type"),
+    )
+
+
 _built: dict[tuple[str, str], ChargeTables] = {}
 
 

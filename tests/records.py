@@ -70,24 +70,25 @@ def _motions(rows) -> list[str]:
 
 WOBBLER_LIST = ["charge", "BP_11320", "PC_594(A)"]
 
+# Codes, actions and match types as rule lists spell them; the texts are invented.
 # Blanks at the end, lower case, an unnamed last column, and one code both included and excluded.
 RULE_LIST = [
     "Charge,Include,Type,Description,Match Type,",
     "NA #7028(A)(1)/04,Include,Subsection,,Exact,",
     "EC 48454,Include,Main statute,,Partial,",
-    "HS 11364,Include,Main statute,possession of paraphernalia,Partial,",
-    'PC 602,Include,Main statute,"Trespass, all kinds",Partial,',
+    "HS 11364,Include,Main statute,an invented text,Partial,",
+    'PC 602,Include,Main statute,"Invented, with a comma",Partial,',
     "PC 602(M),Exclude,Subsection,,Partial,",
-    'PC 647 ,Include,Main statute,"Many kinds of ""disorderly"" conduct, and so on",Partial,',
+    'PC 647 ,Include,Main statute,"Invented ""in quotes"", with a comma",Partial,',
     "PC 647.6,Exclude,Subsection,,Partial,",
     "PC 647(J),Exclude,Subsection,,Partial,",
     "PC 594 ,Include,Main statute,,Exact,",
     "PC 594(A),Include,Subsection,,Exact,",
-    "PC 530.5,Include,Main statute,Identity Theft ,Partial,",
+    "PC 530.5,Include,Main statute,Invented ,Partial,",
     "PC 530.5(b),Exclude,Subsection,,Exact,",
     "PC 25850(a),Include,Main statute,,Exact,",
     "PC_484.1&490.2,Exclude,Subsection,,Exact,",
-    "PC_484.1&490.2,Include,,Repeat Petty Theft,Exact,",
+    "PC_484.1&490.2,Include,,Invented,Exact,",
 ]
 
 SERIOUS_LIST = ["code_section,note", "F_PC_211,robbery", "F_PC_422,threat"]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import exprs as x
@@ -46,20 +47,28 @@ def test_no_patterns_match_nothing(make):
     assert values(df.select(x.matches_any("a", []).alias("v"))) == [False, False]
 
 
-def test_regex_and_literal_modes(make):
+def as_array(patterns):
+    return F.array(*[F.lit(p) for p in patterns])
+
+
+@pytest.mark.parametrize("given", [list, as_array])
+def test_regex_and_literal_modes(make, given):
     df = make("a string", ("PC_602(M)",), ("PC_602M",), ("PC_602",), ("a\\Eb",))
-    for few in (0, 8):
-        regex = x.matches_any("a", ["PC_602(M)"], few=few)
-        literal = x.matches_any("a", ["PC_602(M)", "\\Eb"], "literal", few=few)
-        assert values(df.select(regex.alias("v"))) == [False, True, False, False]
-        assert values(df.select(literal.alias("v"))) == [True, False, False, True]
-
-
-def test_many_patterns_are_cut_into_several_expressions(make):
-    df = make("a string", ("c17x",), ("d",))
-    patterns = [f"c{i}[xy]" for i in range(50)]
-    hit = x.matches_any("a", patterns, per_expression=7)
-    assert values(df.select(hit.alias("v"))) == [True, False]
+    regex = x.matches_any("a", given(["PC_602(M)"]))
+    literal = x.matches_any("a", given(["PC_602(M)", "\\Eb"]), "literal")
+    assert values(df.select(regex.alias("v"))) == [False, True, False, False]
+    assert values(df.select(literal.alias("v"))) == [True, False, False, True]
+
+
+@pytest.mark.parametrize("given", [list, as_array])
+@pytest.mark.parametrize("others", [0, 7, 8, 199, 200, 299])
+def test_a_pattern_finds_the_same_whatever_its_neighbours(make, given, others):
+    df = make("a string", ("Y",), ("aab",), ("other5z",), (None,))
+    more = [f"other{i}[xy]" for i in range(others)]
+    hits = lambda *patterns: values(df.select(x.matches_any("a", given([*more, *patterns])).alias("v")))
+    assert hits("(?i)x", "y") == [False, False, False, False]
+    assert hits("(q)\\1", "(a)\\1b") == [False, True, False, False]
+    assert hits("(?i)y") == [True, False, False, False]
 
 
 def test_age_bands(make):

@@ -6,12 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry import ChargeTables, CodeLists, build_charges, report
-from docketry.operators.ordinal import with_row_ids
+from docketry.operators.ordinal import ORIGIN, origin_offsets, with_row_numbers
 from docketry.operators.rules import rule_tag
 from docketry.plans.build import build_from_parts, stack_parts
 from docketry.plans.report import ANALYSES
 from docketry.schemas import CHARGE_FACT_COLUMNS
 from docketry.sources import files
+from docketry.store import materialise
 from tests import records
 
 ORDER = ("part3", "part4", "part5", "part6", "part1")
@@ -69,7 +70,7 @@ def test_lists_lose_blanks_and_line_ends(spark, paths):
     assert not [c for c in charges if c.endswith(("_", "\r"))]
     assert {r.match_type for r in rules.collect()} == {"Exact", "Partial"}
     quoted = rules.filter("charge = 'PC_647'").collect()[0]
-    assert quoted.description == 'Many kinds of "disorderly" conduct, and so on'
+    assert quoted.description == 'Invented "in quotes", with a comma'
 
 
 def test_code_table_by_position(spark, paths):
@@ -107,8 +108,8 @@ def test_stack_needs_equal_columns(parts):
 
 
 def test_row_numbers_follow_parts_and_lines(tables, parts):
-    rows = tables.all_charges.orderBy("row_order").collect()
-    assert [r.row_order for r in rows] == list(range(1, 16))
+    rows = tables.with_row_numbers(tables.all_charges).orderBy("row_order").collect()
+    assert [r.row_number for r in rows] == list(range(1, 16))
     assert [r.unique_id for r in rows] == [f"{i:06d}" for i in range(1, 16)]
     assert [r.masked_case_no for r in rows] == list("413" + "11122" + "778999" + "5")
     assert len(rows) == sum(p.count() for p in parts.values())
@@ -125,8 +126,10 @@ def test_row_numbers_follow_lines_when_files_are_split(spark, tmp_path):
             spark.conf.set(k, v)
         part = files.read_part(spark, str(path), "part5").withColumn("_part_no", F.lit(0))
         assert part.select("_block").distinct().count() > 3
-        numbered = with_row_ids(part)
-        wrong = numbered.filter("masked_case_no != cast(row_order as string)")
+        written = materialise(part, "rows")
+        offsets = origin_offsets(written, ORIGIN[:-1], ORIGIN[-1])
+        numbered = with_row_numbers(written, offsets, ORIGIN[:-1], ORIGIN[-1])
+        wrong = numbered.filter("masked_case_no != cast(row_number as string)")
         assert numbered.count() == rows and wrong.count() == 0
     finally:
         for k, v in old.items():
@@ -226,21 +229,40 @@ def test_offence_texts(fact, tables):
 
 def test_superseded_rows(fact, tables, parts, lists):
     assert {f"{i:06d}" for i in range(1, 16)} - set(fact) == {"000009", "000012", "000013"}
-    kept = build_from_parts(parts, lists, keep_one_if_all_superseded=True).charges
+    with_first = build_from_parts(parts, lists, keep_one_if_all_superseded=True)
+    kept = with_first.with_row_numbers(with_first.charges)
     assert {r.unique_id for r in kept.collect()} == set(fact) | {"000012"}
 
 
 def test_codes_may_come_from_elsewhere(parts, lists, fact, make):
-    numbered = with_row_ids(stack_parts(parts))
-    codes = numbered.select("code", "section", "charge_level").unionByName(
+    stacked = stack_parts(parts)
+    codes = stacked.select("code", "section", "charge_level").unionByName(
         make("code string, section string, charge_level string", ("XX", "1", "M"))
     )
-    again = build_charges(numbered, lists, codes=codes).charges.collect()
+    again = build_from_parts(parts, lists, codes=codes).fact().collect()
     assert {r.unique_id: (r.low_level, r.svf, r.wobbler) for r in again} == {
         k: (r.low_level, r.svf, r.wobbler) for k, r in fact.items()
     }
 
 
+def test_a_source_of_codes_that_lacks_one_ends_the_build(parts, lists, make):
+    codes = make("code string, section string, charge_level string", ("XX", "1", "M"))
+    with pytest.raises(Exception, match="the source of codes lacks"):
+        build_from_parts(parts, lists, codes=codes)
+
+
+def test_files_with_another_header_end_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("masked_case_no,code\n1,HS\n")
+    (tmp_path / "b.csv").write_text("code,masked_case_no\nHS,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_part(spark, str(tmp_path), "part5").collect()
+
+
+def test_part_tags_must_differ_in_their_digit(parts):
+    with pytest.raises(ValueError, match="digit"):
+        stack_parts({"part1": parts["part1"], "part10": parts["part5"]})
+
+
 def test_report_on_records(tables):
     results = {name: df.collect() for name, df in report(tables).items()}
     one = {name: rows[0] for name, rows in results.items() if len(rows) == 1}

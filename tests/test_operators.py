@@ -169,22 +169,16 @@ def test_dictionary_merges_in_table_order_and_falls_back(make):
     assert by_key["HS_11377_F"] == "fel. possess controlled subst. HS_11377_F"
 
 
-def test_without_shared_folder_frames_stay_lazy(frame, monkeypatch):
-    monkeypatch.setattr(store, "shared_folder", lambda spark: None)
-    assert store.materialise(frame, "x") is frame
-
-
 def test_shared_folder_is_the_sessions(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 class SessionWithoutFolder:
-    """Just what `shared_folder` asks of a session, with no checkpoint folder set."""
+    """Just what the store asks of a session, with no checkpoint folder set."""
 
-    def __init__(self, master: str):
-        self.conf = {}
+    def __init__(self):
+        self.conf = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
         self.sparkContext = self
-        self.master = master
         self.folder = None
 
     def getCheckpointDir(self):
@@ -194,11 +188,13 @@ class SessionWithoutFolder:
         self.folder = folder
 
 
-def test_only_local_sessions_get_a_temporary_folder(monkeypatch, tmp_path):
-    monkeypatch.setattr(store.tempfile, "mkdtemp", lambda prefix: str(tmp_path))
-    local = SessionWithoutFolder("local[4]")
-    assert store.shared_folder(local) == local.folder == str(tmp_path)
-    assert store.shared_folder(SessionWithoutFolder("yarn")) is None
+def test_a_session_without_folder_is_an_error_until_it_gets_one():
+    session = SessionWithoutFolder()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(session)
+    assert session.folder is None
+    store.ensure_shared_folder(session)
+    assert store.shared_folder(session) == "file:/shared/warehouse/_checkpoints"
 
 
 def test_clean_up_deletes_the_applications_own_tables(spark, frame, monkeypatch, tmp_path):

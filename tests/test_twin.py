@@ -9,6 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from docketry.constants import HAND_ENTERED_OFFENCES, PLEA_TEXTS
+from docketry.plans import build
+from docketry.plans import tables as plan_tables
+from docketry.plans.report import report
+from docketry.twin import tables as twin_tables
+from docketry.twin.oracle import ORACLE_SQL
+from docketry.twin.queries import QUERIES
 from docketry.twin.tables import charge_tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -34,10 +41,10 @@ def in_order(rows):
 
 
 def test_every_query_has_its_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.queries()) and set(QUERIES) == set(ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF_DIR)
     relation = duck.sql(driver.oracle_sql()[name])
@@ -51,12 +58,61 @@ def test_query_equals_sql(spark, duck, name):
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "Window", "ExistingRDD")
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_cross_join_python_or_window(spark, name):
     plan = driver.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert not [node for node in UNWANTED if node in plan]
 
 
+@pytest.fixture
+def fresh_build(spark, monkeypatch):
+    """The tables built anew, with the executed plan of every frame that is written."""
+    plans = {}
+    write = build.materialise
+
+    def watched(df, name, *args):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *args)
+
+    for module in (build, plan_tables):
+        monkeypatch.setattr(module, "materialise", watched)
+    monkeypatch.setattr(twin_tables, "_built", {})
+    return plans
+
+
+def test_written_frames_have_no_cross_join_python_or_window(spark, fresh_build):
+    for query in QUERIES.values():
+        query(spark, SF_DIR)
+    windows = {name for name, plan in fresh_build.items() if "Window" in plan}
+    assert windows == {"offsets"}  # one row per sorted range or file split
+    others = [node for node in UNWANTED if node != "Window"]
+    assert not [(name, node) for name, plan in fresh_build.items() for node in others if node in plan]
+    assert "hashpartitioning(data_part" not in fresh_build["charges"]
+
+
+def test_every_table_is_written_once(spark, fresh_build, tmp_path, monkeypatch):
+    monkeypatch.setattr("docketry.store.shared_folder", lambda spark: str(tmp_path))
+    for _ in range(3):
+        for query in QUERIES.values():
+            query(spark, SF_DIR)
+    written = [p.name.rsplit("-", 1)[0] for p in next((tmp_path / "docketry").iterdir()).iterdir()]
+    twice = {name for name in written if written.count(name) > 1}
+    assert twice <= {"surviving"} and written.count("surviving") == 2  # with and without the first row kept
+
+
+def test_making_a_report_writes_nothing(spark, fresh_build):
+    tables = charge_tables(spark, SF_DIR)
+    before = len(fresh_build)
+    assert len(report(tables)) > 40 and len(fresh_build) == before
+
+
+def test_fixed_values_occur_in_results(spark):
+    texts = {r.offense_description for r in charge_tables(spark, SF_DIR).fact().select("offense_description").collect()}
+    assert set(HAND_ENTERED_OFFENCES.values()) <= texts
+    pleas = {r.plea_description for r in QUERIES["relabel_parts"](spark, SF_DIR).collect()}
+    assert set(PLEA_TEXTS.values()) <= pleas
+
+
 def test_scans_read_the_needed_columns_only(tables):
     plan = tables.charges.groupBy("result_description").count()._jdf.queryExecution().toString()
     assert plan.count("ReadSchema: struct<result_description:string>") == 2
