@@ -163,7 +163,7 @@ def _copies(rows: DataFrame) -> DataFrame:
     return named.join(firsts, ["text_hash", "text_hash_2"]).filter("doc_id > first").select(*KEY).distinct()
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 25) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
     """`rest` (all columns but text), text, kept_text, n_words and n_removed for every row of `docs`.
 
     A word goes if a window of `window` words over it also starts in a document with a smaller
@@ -173,7 +173,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 25)
        such copies take no part in what follows.
     1. Anchors: of each window's runs of `gram` words the one with the smallest hash. Equal
        windows have equal anchors, so a window can recur only if its anchor does; about one run
-       in 13 is an anchor.
+       in 18 is an anchor.
     2. The windows with a recurring anchor are confirmed: grouped by a 96-bit fingerprint, each
        passage gets the smallest doc_id that has it.
     3. Confirmed passages of later documents are compiled into Aho-Corasick automata whose
