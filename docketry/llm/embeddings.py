@@ -18,6 +18,7 @@ from docketry.store import materialise
 SAMPLE_VECTORS = 20_000
 BLOCK_VECTORS = 1024
 VISITORS_PER_STEP = 512
+PROBERS_PER_STEP = 64
 MARGIN = 1e-9
 
 GROUP = ["label", "dim", "cell"]
@@ -125,23 +126,22 @@ def _probe(shared, radius: float):
                 unit = _matrix(batch.column("unit"), dim)
                 half = (dim + 1) // 2
                 grid = grids.get(dim) or Grid(np.zeros((1, half)), np.zeros((1, dim - half)))
-                rows, cells, nearest = [], [], []
-                for low in range(0, len(unit), 256):
-                    own, a, b = grid.bounds(unit[low : low + 256])
-                    nearest.append(own)
-                    for r in range(len(own)):
-                        for i, j in multi_sequence(a[r], b[r], radius * radius + MARGIN):
-                            rows.append(low + r)
-                            cells.append(i * len(grid.second) + j)
-                own = np.concatenate(nearest)
-                rows, cells = np.array(rows, np.int64), np.array(cells, np.int64)
-                cosine = np.einsum("ij,ij->i", unit[rows], grid.cells(cells))
-                angle = np.where(cosine == 0, np.pi, np.arccos(np.clip(cosine, -1, 1)))
-                taken = batch.select(["uid", "vec_id", "label", "dim"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(cells), pa.array(own[rows] == cells), pa.array(angle)],
-                    [*taken.schema.names, "cell", "own", "angle"],
-                )
+                for low in range(0, len(unit), PROBERS_PER_STEP):
+                    some = unit[low : low + PROBERS_PER_STEP]
+                    own, a, b = grid.bounds(some)
+                    met = [
+                        np.array([i * len(grid.second) + j for i, j in multi_sequence(x, y, radius * radius + MARGIN)])
+                        for x, y in zip(a, b)
+                    ]
+                    rows = np.repeat(np.arange(len(some)), [len(x) for x in met])
+                    cells = np.concatenate(met)
+                    cosine = np.einsum("ij,ij->i", some[rows], grid.cells(cells))
+                    angle = np.where(cosine == 0, np.pi, np.arccos(np.clip(cosine, -1, 1)))
+                    taken = batch.select(["uid", "vec_id", "label", "dim"]).take(pa.array(low + rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [*taken.columns, pa.array(cells), pa.array(own[rows] == cells), pa.array(angle)],
+                        [*taken.schema.names, "cell", "own", "angle"],
+                    )
 
     return work
 
