@@ -15,7 +15,8 @@ from docketry.llm.textops import Chunk, byte_values, chunks, mix, span_hashes
 from docketry.store import materialise
 
 MEMBERS_PER_TASK_GROUP = 256
-MOST_TURNS = 8
+STAR_TURNS = 3
+SHINGLES_PER_BATCH = 100_000
 
 
 def shingle_sets(chunk: Chunk, words: int) -> list[np.ndarray]:
@@ -149,9 +150,11 @@ def near_duplicates(
     2. Classes that share a band's key share a bucket. A bucket's candidates form a star: one
        member is compared with all others, so the pairs grow with the bucket, not its square.
     3. Pairs are confirmed on the whole sets: 100 * common >= `percent` * union.
-    4. Members of a bucket that are still in different components are compared by further
-       stars with other centres; once the open pairs are few, or after `MOST_TURNS` turns, all
-       of them are compared. So no candidate link is lost by the stars. Nothing is capped.
+    4. Members of a bucket that are still in different components are compared by
+       `STAR_TURNS` stars in all, each with another centre. What is open then (texts far from
+       all others in a large bucket) is told apart by the rarest shingles of the whole sets,
+       which is exact (see _sharing_heads): no link is lost by the stars, nothing is capped and
+       no group is compared all with all.
 
     With 32 bands of 4 rows a pair at 0.8 misses every bucket with probability below 1e-7.
 
@@ -207,42 +210,31 @@ def near_duplicates(
 def _candidate_links(buckets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links between classes that share a bucket.
 
-    Only buckets with more than one component stay open. After each turn the components that
-    its links join are renamed in the open buckets.
+    A centre leaves its bucket after its turn, as it was compared with all others there, and the
+    components that a turn's links join are renamed. Only buckets with more than one component
+    stay open.
     """
     open_rows = buckets.select("bucket", "rep", "size", F.col("rep").alias("component"))
-    confirmed = None
-    for turn in range(MOST_TURNS):
-        parts = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        unsettled = (
-            parts.groupBy("bucket")
-            .agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts"))
-            .filter("parts > 1")
-        )
-        last = turn == MOST_TURNS - 1
-        if turn:
-            left = unsettled.agg(
-                F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), F.sum("all").alias("star")
-            ).first()
-            if not left["pairs"]:
-                break
-            last = last or left["pairs"] <= 4 * left["star"]
-            open_rows = materialise(open_rows.join(unsettled.select("bucket"), "bucket"), "buckets")
+    confirmed = buckets.sparkSession.createDataFrame([], "a bigint, b bigint, linked boolean")
+    for turn in range(STAR_TURNS + 1):
+        if open_rows.isEmpty():
+            break
+        last = turn == STAR_TURNS
         if last:
-            other = open_rows.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("rep", "size", "component")])
-            pairs = open_rows.join(other, "bucket").filter("rep < rep_2")
+            pairs = _sharing_heads(open_rows, texts, words, percent)
         else:
-            order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
+            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep") if turn else F.col("rep")
             centres = open_rows.groupBy("bucket").agg(
                 F.min_by(F.struct("rep", "size", "component"), order).alias("centre")
             )
-            pairs = open_rows.join(centres, "bucket").select(
+            stars = open_rows.join(centres, "bucket").select(
                 "*", *[F.col(f"centre.{c}").alias(f"{c}_2") for c in ("rep", "size", "component")]
             )
+            open_rows = stars.filter("rep != rep_2").select("bucket", "rep", "size", "component")
+            pairs = stars.filter("component != component_2")
         forward = F.col("rep") < F.col("rep_2")
         pairs = (
-            pairs.filter("component != component_2")
-            .filter(100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2"))
+            pairs.filter(100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2"))
             .select(
                 F.least("rep", "rep_2").alias("a"),
                 F.greatest("rep", "rep_2").alias("b"),
@@ -251,11 +243,11 @@ def _candidate_links(buckets: DataFrame, texts: DataFrame, words: int, percent:
             )
             .distinct()
         )
-        if confirmed is not None:
+        if turn:
             pairs = pairs.join(confirmed.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "candidates")
         found = materialise(confirm(pairs.select("a", "b"), texts, words, percent), "confirmed")
-        confirmed = found if confirmed is None else confirmed.unionByName(found)
+        confirmed = confirmed.unionByName(found) if turn else found
         if last:
             break
         joined = pairs.join(found.filter("linked"), ["a", "b"])
@@ -264,9 +256,68 @@ def _candidate_links(buckets: DataFrame, texts: DataFrame, words: int, percent:
         open_rows = open_rows.join(renamed, "component", "left").select(
             "bucket", "rep", "size", F.coalesce("renamed", "component").alias("component")
         )
+        unsettled = open_rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        open_rows = materialise(open_rows.join(unsettled.filter("low < high").select("bucket"), "bucket"), "buckets")
     return confirmed.filter("linked").select("a", "b")
 
 
+def _shingles(words: int):
+    """One row for each distinct shingle of each text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for chunk in chunks(batch.column("text"), SHINGLES_PER_BATCH, lower=True):
+                sets = shingle_sets(chunk, words)
+                own = np.repeat(ids[chunk.first_row : chunk.first_row + len(sets)], [len(s) for s in sets])
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(flat)], ["rep", "shingle"])
+
+    return work
+
+
+def _sharing_heads(open_rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of members of open buckets, of different components, that can still be similar.
+
+    The shingles of each member are put in one order for all, rare ones first. If two sets are
+    similar, their first common shingle stands so early in both that what follows it in either is
+    enough for the overlap they need. So only the heads of the sets are joined, and pairs whose
+    rest is too short fall away in the join; no similar pair does. A member whose head is its own
+    alone has no partner and is settled without a pair.
+
+    Of the members whose heads share a shingle, those of its largest component are joined with
+    the others only, never with each other.
+    """
+    members = open_rows.select("rep", "size", "component").distinct()
+    held = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id")
+    shingles = materialise(held.mapInArrow(_shingles(words), "rep bigint, shingle bigint"), "shingles")
+    recurring = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    common = (
+        shingles.join(recurring, "shingle")
+        .groupBy("rep")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    )
+    # Shingles that no other member has come first and need no row.
+    heads = members.join(common, "rep").select(
+        "rep", "size", "component", (F.col("size") - F.size("common")).alias("alone"), F.posexplode("common")
+    )
+    heads = heads.select(
+        "rep", "size", "component", F.col("col.shingle").alias("shingle"),
+        (F.col("size") - F.col("alone") - F.col("pos")).alias("rest"),
+    ).filter(100 * F.col("rest") >= percent * F.col("size"))
+    heads = materialise(heads, "heads")
+    parts = heads.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("shingle").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")
+    )
+    shared = materialise(heads.join(largest.filter("parts > 1").drop("parts"), "shingle"), "shared_heads")
+    other = shared.drop("largest").withColumnsRenamed({c: f"{c}_2" for c in ("rep", "size", "component", "rest")})
+    enough = (100 + percent) * F.least("rest", "rest_2") >= percent * (F.col("size") + F.col("size_2"))
+    once = (F.col("component_2") == F.col("largest")) | (F.col("rep") < F.col("rep_2"))
+    pairs = shared.filter("component != largest").join(other, "shingle")
+    return pairs.filter((F.col("component") != F.col("component_2")) & once & enough)
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` but for the near-duplicates of a smaller doc_id (see near_duplicates).
 
