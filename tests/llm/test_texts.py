@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.llm import minhash
 from docketry.llm.bpe import RankBitmap, Vocabulary, encode_texts
 from docketry.llm.graph import components
 from docketry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
@@ -68,6 +70,24 @@ def test_stars_lose_no_link(spark):
         assert got == brute.near_duplicates(pairs, n)
 
 
+def test_open_buckets_lose_no_link(spark, monkeypatch):
+    """Many copies of one text with texts too far from all of them, also when no star is made."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(120):
+        at = set(rng.sample(range(80), rng.randint(0, 5)))
+        texts.append(" ".join(f"x{rng.randint(0, 400)}" if i in at else w for i, w in enumerate(base)))
+    pairs = list(enumerate(texts))
+    frame = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    want = brute.near_duplicates(pairs, 4)
+    assert 1 < len({v[1] for v in want.values()}) < 120
+    for turns in (0, 3):
+        monkeypatch.setattr(minhash, "STAR_TURNS", turns)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame, words=4).collect()}
+        assert got == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
