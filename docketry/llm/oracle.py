@@ -2,4 +2,65 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text expression: each byte is mixed in and followed by eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    # 3988292384 is the polynomial.
+    step = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {step}), 4294967295::BIGINT)"
+
+
+OP12 = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP13 = f"""
+WITH own AS (
+  SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, turns, ({crc32("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM own
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+  FROM hashed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), members AS (
+  SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt
+), nodes AS (
+  SELECT depth, turns[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth) AS ends
+  FROM members GROUP BY ALL
+), children AS (
+  SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.prefix[n.depth][2]) END AS saving
+  FROM nodes n LEFT JOIN children c USING (depth, prefix)
+), above AS (
+  SELECT unnest(range(0, depth + 1)) AS depth, prefix AS whole, n_children, saving FROM full_nodes
+), totals AS (
+  SELECT depth, whole[1:depth] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving) AS saved FROM above GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves,
+  t.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN totals t USING (depth, prefix)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_exact_top_k": OP12,
+    "op13_conversation_trie": OP13,
+}

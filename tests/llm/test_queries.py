@@ -17,13 +17,13 @@ NAMES = sorted(ORACLE_SQL)
 
 
 def test_registered():
-    assert set(QUERIES) <= set(driver.queries()) and {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert set(QUERIES) <= set(driver.queries()) and {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         duck.execute(f"create view {table} as from read_parquet('{SF_DIR}/{table}.parquet')")
     df = driver.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
