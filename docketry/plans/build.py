@@ -92,6 +92,7 @@ def build_charges(
     """
     stacked_codes = (stacked if codes is None else codes).select("code", "section", "charge_level")
     distinct_codes = add_code_keys(stacked_codes).select("code_section", "code_section_m_f").distinct()
+    distinct_codes = materialise(distinct_codes, "distinct_codes")
     tagged_codes = materialise(tag_codes(distinct_codes, lists), "codes")
 
     known = F.when(F.col("_tagged"), F.lit(True)).otherwise(

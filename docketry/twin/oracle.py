@@ -224,11 +224,15 @@ _DIVERTED = f"""diverted_offences as (
 
 
 _MANY_RULES = """, many(charge, include) as (
-  select concat('^', list_extract(['ECONOMY', 'LARGE', 'PROMO', 'SMALL', 'STANDARD'], k % 5 + 1), '_',
-      cast(k // 5 % 5 as varchar), '[(]', substr('ABC', cast(k // 25 % 3 + 1 as int), 1),
-      case when k < 90 then '' else concat('rule', cast(k as varchar)) end),
+  select case when k = 4990 then '^[A-Z]{5}_[0-9][(]C[)]$'
+      when k % 3 = 0 then concat('^', place)
+      when k % 3 = 1 then concat('(?:x|y)?', place, '[)]*')
+      else concat(place, '|no such code', cast(k as varchar)) end,
     case when k % 7 = 0 then 'Exclude' else 'Include' end
-  from range(250) r(k))
+  from (select k, concat(list_extract(['ECONOMY', 'LARGE', 'PROMO', 'SMALL', 'STANDARD'], k % 5 + 1), '_',
+      cast(k // 5 % 5 as varchar), '[(]', substr('ABC', cast(k // 25 % 3 + 1 as int), 1),
+      case when k < 90 then '' else concat('rule', cast(k as varchar)) end) as place
+    from range(5000) r(k)))
 select code_section, n,
   (exists (select 1 from many where include = 'Include' and regexp_matches(c.code_section, charge))
    or regexp_matches(c.code_section, '14601|485|422|592.2|490.2') or c.code_section = 'PC_485&490.2')

@@ -161,15 +161,22 @@ def code_lists(spark: SparkSession, sf_dir: str, match_mode: str = "regex") -> C
     )
 
 
-def many_rules(spark: SparkSession, n: int = 250) -> DataFrame:
-    """`n` partial rules: 90 of them fit codes of the parts, every seventh excludes."""
+def many_rules(spark: SparkSession, n: int = 5000) -> DataFrame:
+    """`n` partial rules of several shapes: 90 of them fit codes of the parts, every seventh excludes."""
     k = F.col("id")
     kind = F.get(F.array(*[F.lit(t) for t in PART_TYPES]), (k % 5).cast("int"))
     digit = F.expr("id div 5 % 5").cast("string")
     letter = F.substring(F.lit("ABC"), F.expr("id div 25 % 3").cast("int") + 1, F.lit(1))
     tail = F.when(k < 90, F.lit("")).otherwise(F.concat(F.lit("rule"), k.cast("string")))
+    place = F.concat(kind, F.lit("_"), digit, F.lit("[(]"), letter, tail)
+    shape = (
+        F.when(k == 4990, F.lit("^[A-Z]{5}_[0-9][(]C[)]$"))  # no plain text in it
+        .when(k % 3 == 0, F.concat(F.lit("^"), place))
+        .when(k % 3 == 1, F.concat(F.lit("(?:x|y)?"), place, F.lit("[)]*")))
+        .otherwise(F.concat(place, F.lit("|no such code"), k.cast("string")))
+    )
     return spark.range(n).select(
-        F.concat(F.lit("^"), kind, F.lit("_"), digit, F.lit("[(]"), letter, tail).alias("charge"),
+        shape.alias("charge"),
         F.when(k % 7 == 0, "Exclude").otherwise("Include").alias("include"),
         F.lit("Partial").alias("match_type"),
     )

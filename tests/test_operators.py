@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry import store
+from docketry.functions.patterns import required_pieces
 from docketry.operators import frequency, rollup
 from docketry.operators.dictionary import code_table_keys, describe, merge_texts
-from docketry.operators.rules import exact_tag, rule_tag
+from docketry.operators.rules import exact_tag, pattern_hits, rule_tag
 from docketry.operators.superseded import drop_superseded
 from tests.records import HTA
 
@@ -143,6 +144,60 @@ def test_rule_tag_excludes_win(make):
     assert sorted(hits(literal)) == ["PC_2(A)", "PC_2x5", "XPC_2"]
 
 
+def random_pattern(rng, depth=0):
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.7 or depth > 2:
+            part = rng.choice(["a", "b", "ab", "_", "1", ".", r"\d", r"\.", "[ab]", "[^b]", "[]a]", r"\(", "^", "$", "b{1,2}", "é"])
+        elif kind < 0.97:
+            part = rng.choice(["(", "(?:"]) + "|".join(random_pattern(rng, depth + 1) for _ in range(rng.randint(1, 2))) + ")"
+        else:
+            part = rng.choice(["(?i:B)", r"\Qa.b\E", r"(a|b)\1", "(?=a)", r"\x61", "", r"\\"])
+        if part not in ("^", "$", "") and rng.random() < 0.3:
+            part += rng.choice(["?", "*", "+", "*?", "+?", "{0,2}", "{2}", "?+"])
+        parts.append(part)
+    return "".join(parts)
+
+
+def is_valid(spark, pattern):
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:
+        return False
+    return True
+
+
+@pytest.mark.parametrize("mode", ["regex", "literal"])
+def test_pattern_hits_are_those_of_a_full_search(spark, mode):
+    rng = random.Random(8)
+    patterns = ["", "a|", "|", *{"|".join(random_pattern(rng) for _ in range(rng.randint(1, 2))) for _ in range(500)}]
+    patterns = [p for p in patterns if is_valid(spark, p)]
+    if mode == "literal":
+        patterns = ["", "a", "ab", "a.b", "(", "_1", "ab1_ab1_", "ab1_ab1_b", "é"]
+    codes = ["", *{"".join(rng.choice("abB_1.(é") for _ in range(rng.randint(1, 14))) for _ in range(60)}, "ab1_ab1_b"]
+    rules = spark.createDataFrame([(p, rng.choice(["Include", "Exclude"])) for p in patterns] + [(None, "Include")], "charge string, include string")
+    frame = spark.createDataFrame([(c,) for c in [*codes, codes[3], None]], "code_section string")
+    got = {r._code: (r._partly_in, r._partly_out) for r in pattern_hits(frame, rules, mode=mode).collect()}
+    found = "rlike(code_section, charge)" if mode == "regex" else "contains(code_section, charge)"
+    pairs = frame.crossJoin(rules).filter(found).select("code_section", "include").distinct().collect()
+    hits = {(r.code_section, r.include) for r in pairs}
+    assert got == {c: ((c, "Include") in hits, (c, "Exclude") in hits) for c in codes if {(c, "Include"), (c, "Exclude")} & hits}
+    if mode == "regex":
+        pieces = rules.select(required_pieces(F.col("charge")).alias("p")).filter("p[0] = ''").count()
+        assert pieces < 0.7 * len(patterns) and len(got) > 40
+
+
+def test_index_gives_few_candidates(spark):
+    """5,000 patterns on 1,000 codes: the search sees little more than the hits, and the plan holds no pattern."""
+    rules = spark.range(5000).select(F.format_string("^AB_%d[(]A", "id").alias("charge"), F.lit("Include").alias("include"))
+    codes = spark.range(1000).select(F.format_string("AB_%d(A)", F.col("id") + 4500).alias("code_section"))
+    hits = pattern_hits(codes, rules)
+    assert hits.count() == 500
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "collect_list" not in plan
+
+
 def test_no_rules_tag_nothing(make):
     rules = make("charge string, include string, match_type string", ("x", "Include", "Exact")).filter("false")
     tagged = rule_tag(make("code_section string", ("PC_1",)), rules, more_patterns=(), more_codes=())
