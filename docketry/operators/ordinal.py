@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.store import materialise
+
 # Where a row came from, in row order; the file readers add these.
 ORIGIN = ("_part_no", "_file", "_block", "_line")
 
@@ -26,11 +29,30 @@ def sorted_ranges(df: DataFrame, *order: str) -> DataFrame:
 def origin_offsets(rows: DataFrame, origin: Sequence[str], line: str) -> DataFrame:
     """Per origin, in order: its lowest line and the number of rows before it.
 
-    Only the origins, one per range or file split, are put in order and summed up in one task.
+    Sums in two levels: the origins, one per sorted range or file split, are put into about as many
+    ranges as each range then has origins. Running sums are taken within each range, and the
+    ranges' totals are summed up in one row.
     """
     splits = rows.groupBy(*origin).agg(F.min(line).alias("_low"), F.count(F.lit(1)).alias("_rows"))
-    before = W.orderBy(*origin).rowsBetween(W.unboundedPreceding, -1)
-    return splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    splits = materialise(splits, "origins")
+    ranges = isqrt(splits.count()) + 1
+    splits = splits.repartitionByRange(ranges, *origin).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(splits, "origin_ranges")
+
+    totals = ranged.groupBy("_part").agg(F.sum("_rows").alias("n"))
+    totals = totals.agg(F.array_sort(F.collect_list(F.struct("_part", "n"))).alias("t"))
+    before = lambda t, i: F.struct(
+        t["_part"].alias("_part"),
+        F.aggregate(F.slice("t", F.lit(1), i), F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("_earlier"),
+    )
+    earlier = totals.select(F.inline(F.transform("t", before)))
+    within = W.partitionBy("_part").orderBy(*origin).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        ranged.withColumn("_in_part", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
+        .join(earlier, "_part")
+        .withColumn("_before", F.col("_earlier") + F.col("_in_part"))
+        .drop("_rows", "_part", "_in_part", "_earlier")
+    )
 
 
 def with_row_numbers(

@@ -60,8 +60,13 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: str, *values: str
 def ordered_distinct_text(df: DataFrame, value: str, order: str, sep: str) -> DataFrame:
     """One row: the distinct values in order of first appearance, joined to one text.
 
-    Rows are reduced to distinct values before anything is gathered.
+    Rows are reduced to distinct values, these are dealt out in ranges of their first appearance,
+    and each range is joined to a segment by itself. Only the segments meet in one row, which is
+    the result.
     """
     firsts = df.groupBy(value).agg(F.min(order).alias("_first"))
-    pairs = F.array_sort(F.collect_list(F.struct("_first", F.coalesce(value, F.lit("NA")).alias("v"))))
-    return firsts.agg(F.array_join(F.transform(pairs, lambda p: p["v"]), sep).alias(value))
+    ranged = firsts.repartitionByRange("_first").withColumn("_part", F.spark_partition_id())
+    in_order = lambda at, text: F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda p: p["_text"])
+    text = F.coalesce(value, F.lit("NA")).alias("_text")
+    segments = ranged.groupBy("_part").agg(F.array_join(in_order("_first", text), sep).alias("_text"))
+    return segments.agg(F.array_join(in_order("_part", F.col("_text")), sep).alias(value))

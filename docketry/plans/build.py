@@ -13,7 +13,7 @@ from docketry.operators.rules import exact_tag, rule_tag
 from docketry.plans.keys import add_code_keys, is_interim
 from docketry.plans.tables import ChargeTables
 from docketry.schemas import CHARGE_PART
-from docketry.store import materialise
+from docketry.store import free, materialise
 
 # The part whose records are all felonies and come without level, case type and city.
 MOTION_PART = "part1"
@@ -107,6 +107,7 @@ def build_charges(
     )
     layout = ("data_part", "interim")
     stored = materialise(tagged.hint("rebalance"), "charges", layout)
+    free(distinct_codes, tagged_codes)
 
     return ChargeTables(stored, lists.code_table, keep_one_if_all_superseded, placed)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,7 +17,7 @@ from docketry.operators.rollup import entity_rollup, first_per_group
 from docketry.operators.superseded import superseded_keys, surviving_interim_rows
 from docketry.plans.keys import add_keys, charge_id
 from docketry.schemas import CHARGE_FACT_COLUMNS
-from docketry.store import materialise
+from docketry.store import finished, materialise
 
 
 @dataclass(frozen=True)
@@ -83,12 +84,16 @@ class ChargeTables:
     @cached_property
     def _offsets(self) -> DataFrame:
         fields = [F.col(f"row_order.{c.strip('_')}").alias(c) for c in ORIGIN]
-        return materialise(origin_offsets(self.stored.select(*fields), ORIGIN[:-1], ORIGIN[-1]), "offsets")
+        return self._written_offsets(self.stored.select(*fields), ORIGIN[:-1], ORIGIN[-1])
+
+    def _written_offsets(self, rows: DataFrame, origin: Sequence[str], line: str) -> DataFrame:
+        spark = rows.sparkSession
+        return finished(spark, "offsets", lambda: origin_offsets(rows, origin, line))
 
     @cached_property
     def _sorted_numbers(self) -> DataFrame:
         ranges = materialise(sorted_ranges(self.stored.select("row_order"), "row_order"), "ranges")
-        offsets = materialise(origin_offsets(ranges, ["_range"], "_generated"), "offsets")
+        offsets = self._written_offsets(ranges, ["_range"], "_generated")
         return with_row_numbers(ranges, offsets, ["_range"], "_generated")
 
     @cached_property

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from docketry import store
 from docketry.functions.patterns import required_pieces
-from docketry.operators import frequency, rollup
+from docketry.operators import frequency, ordinal, rollup
 from docketry.operators.dictionary import code_table_keys, describe, merge_texts
 from docketry.operators.rules import exact_tag, pattern_hits, rule_tag
-from docketry.operators.superseded import drop_superseded
+from docketry.operators.superseded import MOST_HEAVY, drop_superseded, salted, superseded_keys
 from tests.records import HTA
 
 
@@ -231,32 +231,118 @@ def test_shared_folder_is_the_sessions(spark):
 class SessionWithoutFolder:
     """Just what the store asks of a session, with no checkpoint folder set."""
 
-    def __init__(self):
-        self.conf = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
-        self.sparkContext = self
-        self.folder = None
+    def __init__(self, master):
+        self.conf = {"spark.sql.warehouse.dir": "file:/own/warehouse"}
+        self.sparkContext, self.master = self, master
 
     def getCheckpointDir(self):
-        return self.folder
+        return None
 
-    def setCheckpointDir(self, folder):
-        self.folder = folder
 
-
-def test_a_session_without_folder_is_an_error_until_it_gets_one():
-    session = SessionWithoutFolder()
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_shared_folder_is_an_error(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        store.shared_folder(session)
-    assert session.folder is None
-    store.ensure_shared_folder(session)
-    assert store.shared_folder(session) == "file:/shared/warehouse/_checkpoints"
+        store.shared_folder(SessionWithoutFolder(master))
+
 
+def test_a_local_session_may_do_without():
+    assert store.shared_folder(SessionWithoutFolder("local[4]")) == "file:/own/warehouse/_checkpoints"
 
-def test_clean_up_deletes_the_applications_own_tables(spark, frame, monkeypatch, tmp_path):
-    other = tmp_path / "other"
-    other.mkdir()
+
+@pytest.fixture
+def folder(monkeypatch, tmp_path):
     monkeypatch.setattr(store, "shared_folder", lambda spark: str(tmp_path))
-    kept = store.materialise(frame, "rows")
-    assert kept.count() == frame.count() and kept.columns == frame.columns
+    return tmp_path
+
+
+def tables_in(folder):
+    return sorted(p.name.rsplit("_", 1)[0] for p in folder.glob("docketry/*/*"))
+
+
+def test_clean_up_deletes_the_applications_own_tables(spark, frame, folder):
+    (folder / "docketry" / "other").mkdir(parents=True)
+    kept = store.materialise(frame, "rows", ["status"])
+    assert sorted(kept.collect()) == sorted(frame.collect()) and kept.columns == frame.columns
+    store.clean_up(spark)
+    assert [p.name for p in (folder / "docketry").iterdir()] == ["other"]
+    store.materialise(frame, "again")
+    assert tables_in(folder) == ["again"]
+    store.clean_up(spark)
+
+
+def test_tables_go_with_their_block(spark, frame, folder):
+    store.materialise(frame, "outer")
+    with store.owned(spark):
+        store.materialise(frame, "inner")
+        result = store.finished(spark, "result", lambda: store.materialise(frame, "step").filter("key = 'hot'"))
+        assert tables_in(folder) == ["inner", "outer", "result"]
+        assert result.count() == frame.filter("key = 'hot'").count()
+    assert tables_in(folder) == ["outer"]
+    with pytest.raises(ZeroDivisionError), store.owned(spark):
+        store.materialise(frame, "lost")
+        1 / 0
+    assert tables_in(folder) == ["outer"]
+    store.clean_up(spark)
+
+
+def test_tables_are_freed_one_by_one(spark, frame, folder):
+    first, second = store.materialise(frame, "first"), store.materialise(frame, "second")
+    store.free(first, frame)
+    store.free(first)
+    assert tables_in(folder) == ["second"] and second.count() == frame.count()
+    store.clean_up(spark)
+
+
+def test_a_result_without_tables_stays_a_plan(spark, frame, folder):
+    assert store.finished(spark, "result", lambda: frame) is frame
+    assert not list(folder.iterdir())
+
+
+def test_offsets_in_two_levels(spark, folder):
+    """Many origins, some of them heavy; lines of an origin are consecutive numbers from anywhere."""
+    rng = random.Random(9)
+    sizes = {(f"f{rng.randrange(9)}", i): rng.randint(1, 9) if i != 7 else 300 for i in range(150)}
+    starts = {o: rng.randrange(1 << 40) for o in sizes}
+    rows = [(f, b, starts[f, b] + n) for (f, b), size in sizes.items() for n in range(size)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "file string, block int, line long")
+    offsets = store.finished(spark, "offsets", lambda: ordinal.origin_offsets(frame, ["file", "block"], "line"))
+    assert tables_in(folder) == ["offsets"] and offsets.count() == len(sizes)
+    numbered = ordinal.with_row_numbers(frame.withColumn("at", F.struct(*frame.columns)), offsets, ["file", "block"], "line")
+    got = {tuple(r["at"]): r.row_number for r in numbered.collect()}
+    assert got == {row: n for n, row in enumerate(sorted(rows), 1)}
+    assert ordinal.origin_offsets(frame.filter("false"), ["file", "block"], "line").count() == 0
+    store.clean_up(spark)
+
+
+def test_no_window_over_all_origins(spark, folder):
+    frame = spark.range(50).select(F.lit(0).alias("file"), F.col("id").alias("line"))
+    plan = ordinal.origin_offsets(frame, ["file"], "line")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("windowspecdefinition(") == plan.count("windowspecdefinition(_part") == 1
     store.clean_up(spark)
-    assert other.exists() and not list((tmp_path / "docketry").iterdir())
+
+
+def test_heavy_keys_are_dealt_out(spark, folder):
+    """No (key, salt) holds more than about the bound, and the join finds what the plain one finds."""
+    rows = spark.range(6000).select(
+        F.col("id").alias("row_order"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 1500)).alias("key")
+    )
+    keys = store.materialise(superseded_keys(rows, "key", F.col("row_order") >= 0), "keys")
+    dealt, repeated = salted(rows, keys, "key", "row_order", rows_per_salt=100)
+    assert dealt.count() == 6000 and repeated.filter("key = 'hot'").count() == 20
+    assert dealt.groupBy("key", "_salt").count().agg(F.max("count")).first()[0] < 160
+    assert dealt.join(repeated.select("key", "_salt"), ["key", "_salt"], "left_semi").count() == rows.join(keys, "key", "left_semi").count()
+    few = salted(rows, keys, "key", "row_order", rows_per_salt=0)[1]
+    assert few.filter("_salt > 0").select("key").distinct().count() < MOST_HEAVY
+    store.clean_up(spark)
+
+
+def test_segments_make_one_text(spark):
+    frame = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n"), F.format_string("v%d", F.col("id") * 7919 % 5000).alias("v"))
+    frame = frame.unionByName(frame.select((F.col("n") + 9000).alias("n"), "v"))
+    text = rollup.ordered_distinct_text(frame.repartition(6), "v", "n", ",")
+    assert text.first().v == ",".join(f"v{i}" for i in range(5000))
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(_first" in plan and "hashpartitioning(_part" in plan
+    empty = rollup.ordered_distinct_text(frame.filter("false"), "v", "n", ",").collect()
+    assert [r.v for r in empty] == [""]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from docketry.operators.superseded import superseded_keys, surviving_interim_rows
+from docketry.operators.superseded import salted, superseded_keys
 from docketry.plans.keys import charge_id
 from docketry.store import materialise
 from docketry.twin.oracle import ORACLE_SQL
@@ -74,14 +74,28 @@ def test_heavy_keys_of_both_joins_are_split(spark, skewed):
     assert final.count("SortMergeJoin(skew=true)") == 2
 
 
-def test_interim_rows_of_a_heavy_charge_are_split(spark, skewed):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_interim_rows_of_a_heavy_charge_are_split(spark, skewed, adaptive):
+    """Without broadcasts and whether or not Spark splits at run time: no join partition gets the heavy charge whole."""
     tables = charge_tables(spark, skewed)
     rows = tables.stored.withColumn("charge_id", charge_id())
     superseded = materialise(superseded_keys(rows, "charge_id", F.col("interim")), "superseded")
-    kept = surviving_interim_rows(rows.filter("interim"), superseded, "charge_id").agg(F.max("plea"))
-    kept.collect()
-    final = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "SortMergeJoin(skew=true)" in final
+    heavy = superseded.agg(F.max("interim_rows")).first()[0]
+    interim = rows.filter("interim")
+    assert heavy > 0.2 * interim.count()
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        dealt, keys = salted(interim, superseded, "charge_id", "row_order", rows_per_salt=heavy // 16)
+        kept = dealt.join(keys.select("charge_id", "_salt"), ["charge_id", "_salt"], "left_anti")
+        assert "hashpartitioning(charge_id" in (plan := kept._jdf.queryExecution().executedPlan().toString())
+        assert "_salt#" in plan and "NestedLoop" not in plan
+        sizes = dealt.repartition(16, "charge_id", "_salt").groupBy(F.spark_partition_id()).count().agg(F.max("count"))
+        whole = dealt.repartition(16, "charge_id").groupBy(F.spark_partition_id()).count().agg(F.max("count"))
+        assert sizes.first()[0] < 0.5 * heavy < heavy <= whole.first()[0]
+        plain = interim.join(superseded.select("charge_id"), "charge_id", "left_anti")
+        assert kept.select("row_order").exceptAll(plain.select("row_order")).count() == 0 and kept.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
