@@ -19,16 +19,22 @@ def code_table_keys(code_table: DataFrame) -> DataFrame:
 
 
 def merge_texts(code_table: DataFrame, order: str = "row_order", sep: str = " and/or ") -> DataFrame:
-    """One row per key: its texts in table order, joined, with the key at the end."""
-    pairs = F.array_sort(
-        F.collect_list(F.struct(order, F.coalesce("offense_description", F.lit("NA")).alias("text")))
-    )
-    merged = F.array_join(F.transform(pairs, lambda p: p["text"]), sep)
-    return (
-        code_table.groupBy("key")
-        .agg(merged.alias("offense_description"))
-        .withColumn("offense_description", paste("offense_description", "key", sep=" -- "))
+    """One row per key: its texts in table order, joined, with the key at the end.
+
+    Merged in two levels: the table is dealt out in ranges of key and order, so that a key with
+    very many texts lies in as many ranges as it needs; each range joins its texts of a key, and
+    the key joins its ranges' texts.
+    """
+    text = F.coalesce("offense_description", F.lit("NA")).alias("_text")
+    rows = code_table.select("key", F.col(order).alias("_at"), text).repartitionByRange("key", "_at")
+    in_order = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "_text"))), lambda p: p["_text"])
+    segments = (
+        rows.withColumn("_part", F.spark_partition_id())
+        .groupBy("key", "_part")
+        .agg(F.array_join(in_order("_at"), sep).alias("_text"))
     )
+    merged = segments.groupBy("key").agg(F.array_join(in_order("_part"), sep).alias("offense_description"))
+    return merged.withColumn("offense_description", paste("offense_description", "key", sep=" -- "))
 
 
 def describe(

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.constants import PART_NAMES
 from docketry.operators.ordinal import ORIGIN
 from docketry.operators.rules import exact_tag, rule_tag
 from docketry.plans.keys import add_code_keys, is_interim
@@ -121,3 +122,34 @@ def build_from_parts(parts: Mapping[str, DataFrame], lists: CodeLists, **options
     stacked = stack_parts(parts)
     rows = stacked.withColumn("row_order", F.struct(*[F.col(c).alias(c.strip("_")) for c in ORIGIN]))
     return build_charges(rows.drop(*ORIGIN), lists, placed=True, **options)
+
+
+def reconcile(parts: Mapping[str, DataFrame], tables: ChargeTables) -> DataFrame:
+    """One row per part: its rows as read, as built and as kept, and the numbers its rows got.
+
+    `complete` tells that no row was lost or made on the way and that the part's rows have one
+    unbroken stretch of numbers.
+    """
+    read = None
+    for tag, part in parts.items():
+        name = F.lit(PART_NAMES.get(tag, tag)).alias("data_part")
+        rows = part.agg(F.count(F.lit(1)).alias("rows_in")).select(name, "rows_in")
+        read = rows if read is None else read.unionByName(rows)
+    if read is None:
+        raise ValueError("no parts given")
+    numbers = tables.with_row_numbers(tables.all_charges.select("data_part", "row_order"))
+    built = numbers.groupBy("data_part").agg(
+        F.count(F.lit(1)).alias("rows_out"),
+        F.min("row_number").alias("first_number"),
+        F.max("row_number").alias("last_number"),
+    )
+    kept = tables.charges.groupBy("data_part").agg(F.count(F.lit(1)).alias("rows_kept"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    stretch = F.coalesce(F.col("last_number") - F.col("first_number") + 1, F.lit(0))
+    return (
+        read.join(built, "data_part", "full")
+        .join(kept, "data_part", "left")
+        .select("data_part", none("rows_in"), none("rows_out"), none("rows_kept"), "first_number", "last_number", stretch.alias("_n"))
+        .withColumn("complete", (F.col("rows_in") == F.col("rows_out")) & (F.col("rows_out") == F.col("_n")))
+        .drop("_n")
+    )

@@ -67,6 +67,11 @@ def _write(df: DataFrame, name: str, partition_by: Sequence[str], block: list[st
     return written
 
 
+def location(df: DataFrame) -> str:
+    """The folder of a frame that `materialise` gave."""
+    return f"{own_folder(df.sparkSession)}/{_tables[df].split('.')[1]}"
+
+
 def free(*frames: DataFrame) -> None:
     """Drop the tables behind frames that `materialise` gave; whatever reads them must be written by now."""
     for df in frames:

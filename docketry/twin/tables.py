@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.constants import HAND_ENTERED_OFFENCES, PLEA_TEXTS
-from docketry.plans.build import CodeLists, build_charges
+from docketry.plans.build import CodeLists, build_charges, build_from_parts
 from docketry.plans.tables import ChargeTables
+from docketry.sources.files import read_parts
+from docketry.store import location, materialise
 
 # The known pleas, and one that has no text; the ninth place is a missing plea.
 PLEAS = (*PLEA_TEXTS, "XX")
@@ -192,3 +194,18 @@ def charge_tables(spark: SparkSession, sf_dir: str) -> ChargeTables:
         codes = part_codes(read(spark, sf_dir, "part"))
         _built[build] = build_charges(charge_rows(spark, sf_dir), code_lists(spark, sf_dir), codes)
     return _built[build]
+
+
+_read_again: dict[tuple[str, str], tuple[dict[str, DataFrame], ChargeTables]] = {}
+PART_ORDER = ("part3", "part4", "part5", "part6", "part1")
+
+
+def part_tables(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], ChargeTables]:
+    """The user's path: the charges as files of five parts, read, stacked and built; once per application."""
+    build = (spark.sparkContext.applicationId, sf_dir)
+    if build not in _read_again:
+        written = materialise(charge_rows(spark, sf_dir).drop("row_order"), "part_files", ["data_part"])
+        paths = {tag: f"{location(written)}/data_part={tag}" for tag in PART_ORDER}
+        parts = read_parts(spark, paths, fmt="parquet")
+        _read_again[build] = parts, build_from_parts(parts, code_lists(spark, sf_dir))
+    return _read_again[build]

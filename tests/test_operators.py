@@ -224,6 +224,21 @@ def test_dictionary_merges_in_table_order_and_falls_back(make):
     assert by_key["HS_11377_F"] == "fel. possess controlled subst. HS_11377_F"
 
 
+def test_one_key_with_a_third_of_all_texts(spark):
+    """Its texts are joined range by range, then in the order of the table."""
+    table = spark.range(3000).select(
+        (F.col("id") * 7919 % 3000).alias("row_order"),
+        F.when(F.col("id") * 7919 % 3000 % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") * 7919 % 3000 % 100)).alias("key"),
+        F.format_string("t%d", F.col("id") * 7919 % 3000).alias("offense_description"),
+    )
+    expected = defaultdict(list)
+    for i in range(3000):
+        expected["hot" if i % 3 == 0 else f"k{i % 100}"].append(f"t{i}")
+    merged = merge_texts(table.repartition(5))
+    assert {r.key: r.offense_description for r in merged.collect()} == {k: " and/or ".join(v) + f" -- {k}" for k, v in expected.items()}
+    assert "rangepartitioning(key" in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert store.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
