@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.textops import byte_values, chunks, span_hashes
+from docketry.llm.textops import chunks, span_hashes, word_hashes
 
 # Phrases that name a license wherever they stand, with their labels.
 PHRASES = {
@@ -18,18 +18,36 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# The core sentences of license texts, with their labels.
+# Paragraphs of license texts and notices, in lower-case words, with their labels.
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and "
     "associated documentation files the software to deal in the software without restriction": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the software": "mit",
     "licensed under the apache license version 2 0 the license you may not use this file except in "
     "compliance with the license": "apache-2",
     "redistribution and use in source and binary forms with or without modification are permitted "
     "provided that the following conditions are met": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and "
+    "the following disclaimer": "bsd",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu "
     "general public license as published by the free software foundation": "gpl",
-    "this work is licensed under a creative commons attribution noncommercial": "cc-by-nc",
-    "this work is licensed under a creative commons attribution": "cc-by",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+    "lesser general public license as published by the free software foundation": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee "
+    "is hereby granted": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
+    "this work is licensed under a creative commons attribution 3 0 unported license": "cc-by",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
+    "this work is licensed under a creative commons attribution noncommercial 3 0 unported license": "cc-by-nc",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa",
+    "this work is licensed under a creative commons zero v1 0 universal license": "cc0",
+    "to the extent possible under law the author has waived all copyright and related or neighboring "
+    "rights to this work cc0 1 0 universal": "cc0",
 }
 
 # Words are runs of ASCII letters and digits and of all characters beyond ASCII.
@@ -46,7 +64,7 @@ def _grams(batch_texts: pa.Array, gram: int) -> Iterator[tuple[int, int, np.ndar
     """Row, number of words and hashes of all runs of `gram` words of each text."""
     for chunk in chunks(batch_texts, lower=True):
         starts, ends, first = chunk.words(_LICENSE_WORD)
-        words = span_hashes(byte_values(chunk.data), starts, ends)
+        words = word_hashes(chunk.data, starts, ends)
         at = np.arange(max(len(words) - gram + 1, 0))
         hashes = span_hashes(words, at, at + gram).view(np.int64)
         for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), chunk.first_row):
@@ -85,19 +103,27 @@ def _rows(gram: int):
 
 
 def template_grams(docs: DataFrame, gram: int) -> DataFrame:
-    """(gram, template, label, phrase, runs, at): where each word run stands in the templates.
+    """(gram, template, label, phrase, runs, own, at): where each word run stands in the templates.
 
-    The templates are the module's fixed texts; the limit proves that they are small.
+    `own` lists the places of the runs that no license text of another label has; a single word
+    tells some licenses apart. The templates are the module's fixed texts; the limit proves that
+    they are small.
     """
     texts = [(t, label, True) for t, label in PHRASES.items()] + [(t, label, False) for t, label in TEMPLATES.items()]
     if sum(len(t.split()) for t, _, _ in texts) > TEMPLATE_WORDS_LIMIT:
         raise ValueError("templates are too long to be sent to every task")
-    rows = []
-    for i, n_words, own in _grams(pa.array([t for t, _, _ in texts]), gram):
+    found = [(i, n_words, own.tolist()) for i, n_words, own in _grams(pa.array([t for t, _, _ in texts]), gram)]
+    labels: dict[int, set[str]] = {}
+    for i, n_words, own in found:
         if n_words < gram:
             raise ValueError(f"a template has fewer than {gram} words: {texts[i][0]}")
-        rows += [(value, i, texts[i][1], texts[i][2], len(own), at) for at, value in enumerate(own.tolist())]
-    names = ("gram", "template", "label", "phrase", "runs", "at")
+        for value in own:
+            labels.setdefault(value, set()).update([] if texts[i][2] else [texts[i][1]])
+    rows = []
+    for i, _, own in found:
+        distinct = [at for at, value in enumerate(own) if labels[value] == {texts[i][1]}]
+        rows += [(value, i, texts[i][1], texts[i][2], len(own), distinct, at) for at, value in enumerate(own)]
+    names = ("gram", "template", "label", "phrase", "runs", "own", "at")
     return docs.sparkSession.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows))))))
 
 
@@ -111,14 +137,15 @@ def scan_licenses(docs: DataFrame, gram: int = GRAM, neighbours: int = 4, least:
 
     For the license texts, diagonals that are at most `neighbours` words apart merge (words put
     in or left out shift the diagonal). A span is verified if it holds at least `least` of the
-    template's runs and is no longer than twice the template; a single diagonal is also tried
-    by itself. score is the largest share of a template that a verified span holds, 1 for a
+    template's runs and half of those that no other license has, and is no longer than twice the
+    template; a single diagonal is also tried by itself. score is the largest share of a template that a verified span holds, 1 for a
     phrase, 0 for nothing. Labels are sorted and joined by commas, empty if there are none.
 
     The template table is fixed and small, so it is sent to every task and the runs of the texts
     are not shuffled: only hits and one row per text are, votes counted before. All later
-    groups are those of one text. A null or empty text has no words. Repeated rows get a row
-    each, and rows with equal or null doc_ids are told apart by their texts.
+    groups are those of one text, and a long text yields its runs in batches. A null or empty text
+    has no words. Repeated rows get a row each, and rows with equal or null doc_ids are told apart
+    by their texts. An empty table gives no rows; columns beside doc_id and text are left alone.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     runs = rows.mapInArrow(_rows(gram), "doc_id bigint, text_hash bigint, place bigint, value bigint")
@@ -126,7 +153,7 @@ def scan_licenses(docs: DataFrame, gram: int = GRAM, neighbours: int = 4, least:
     hits = runs.join(templates, (F.col("value") == F.col("gram")) & (F.col("place") >= 0), "left")
     diagonals = (
         hits.filter("template is not null or place < 0")
-        .groupBy(*KEY, "template", "label", "phrase", "runs", (F.col("place") - F.col("at")).alias("diagonal"))
+        .groupBy(*KEY, "template", "label", "phrase", "runs", "own", (F.col("place") - F.col("at")).alias("diagonal"))
         .agg(
             F.collect_set("at").alias("found"),
             F.max(F.when(F.col("place") < 0, F.col("value"))).alias("n_words"),
@@ -138,21 +165,24 @@ def scan_licenses(docs: DataFrame, gram: int = GRAM, neighbours: int = 4, least:
     spans = (
         diagonals.withColumn("new", new.cast("int"))
         .withColumn("span", F.sum("new").over(line))
-        .groupBy(*KEY, "template", "label", "phrase", "runs", "span")
+        .groupBy(*KEY, "template", "label", "phrase", "runs", "own", "span")
         .agg(
             F.min("diagonal").alias("diagonal"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("merged"),
-            F.max(F.size("found")).alias("alone"),
+            F.array_distinct(F.flatten(F.collect_list("found"))).alias("all_found"),
+            F.max(F.struct(F.size("found").alias("n"), "found")).alias("most"),
             F.max(F.col("diagonal") + F.array_max("found")).alias("end"),
             F.min(F.col("diagonal") + F.array_min("found")).alias("start"),
             F.max("n_words").alias("n_words"),
             F.max("copies").alias("copies"),
         )
     )
+    spans = spans.withColumns({"merged": F.size("all_found"), "alone": F.col("most.n")})
     fits = F.col("end") - F.col("start") + gram <= 2 * (F.col("runs") + gram - 1)
-    held = F.when(fits, F.greatest("merged", "alone")).otherwise(F.col("alone"))
+    held = F.when(fits, F.col("merged")).otherwise(F.col("alone"))
+    at = F.when(fits, F.col("all_found")).otherwise(F.col("most.found"))
+    told_apart = 2 * F.size(F.array_intersect(at, F.col("own"))) >= F.size("own")
     stands = F.col("phrase") & (F.col("alone") == F.col("runs"))
-    verified = stands | (~F.col("phrase") & (held >= least * F.col("runs")))
+    verified = stands | (~F.col("phrase") & told_apart & (held >= least * F.col("runs")))
     texts = spans.groupBy(*KEY).agg(
         F.max("copies").alias("copies"),
         F.max("n_words").alias("n_words"),

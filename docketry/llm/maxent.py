@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.textops import byte_values, chunks, mix, span_hashes
+from docketry.llm.textops import chunks, mix, word_hashes
 from docketry.store import materialise
 
 KEY = ["doc_id", "text_hash"]
@@ -41,7 +41,7 @@ def token_sequences(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row and token hashes of each text: its lower-cased words and the end."""
     for chunk in chunks(texts, lower=True):
         starts, ends, first = chunk.words()
-        words = span_hashes(byte_values(chunk.data), starts, ends)
+        words = word_hashes(chunk.data, starts, ends)
         for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()), chunk.first_row):
             yield i, np.append(words[low:high], END)
 

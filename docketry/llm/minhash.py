@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.graph import components
-from docketry.llm.textops import Chunk, byte_values, chunks, mix, span_hashes
+from docketry.llm.textops import Chunk, chunks, mix, span_hashes, word_hashes
 from docketry.store import materialise
 
 MEMBERS_PER_TASK_GROUP = 256
@@ -22,7 +22,7 @@ SHINGLES_PER_BATCH = 100_000
 def shingle_sets(chunk: Chunk, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a chunk; a short text is one shingle."""
     starts, ends, first = chunk.words()
-    hashes = span_hashes(byte_values(chunk.data), starts, ends)
+    hashes = word_hashes(chunk.data, starts, ends)
     at = np.arange(max(len(hashes) - words + 1, 0))
     grams = span_hashes(hashes, at, at + words)
     sets = []

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,76 +17,51 @@ from docketry.store import materialise
 
 # Documents of one source are ranked by the digest of their id; rows per ranking group, about.
 ROWS_PER_GROUP = 2_000
-MOST_SOURCES = 1_000
+SLOTS_PER_BATCH = 50_000
 
 
-@dataclass(frozen=True)
-class Phase:
-    """A stretch of slots in which the same sources are mixed at the same shares."""
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly their proportions; a float is the fraction it stands for."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
-    shares: dict[str, int]  # slots of each source in a period
-    slots: list[str]  # the source of each slot of one period
-    first_slot: int
-    length: int
-    first_block: dict[str, int]  # the next block of each source when the phase begins
 
+def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
+    """The source and block of each slot, until all blocks are used up.
 
-def integer_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period by weight, one at least; what is left over goes by the largest remainder."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    shares = {s: max(1, int(e)) for s, e in exact.items()}
-    while (gap := period - sum(shares.values())) > 0:
-        for s in sorted(shares, key=lambda s: (shares[s] - exact[s], s))[:gap]:
-            shares[s] += 1
-    for _ in range(-gap):
-        shares[max((s for s in shares if shares[s] > 1), key=lambda s: (shares[s] - exact[s], s))] -= 1
-    return shares
+    At share w (a source's weight by that of all sources with blocks left), its block i, counted
+    from 0 when the present phase began, is released at floor(i / w) and due by ceil((i + 1) / w). Of
+    the released blocks the one due first goes, then the heavier source's. Shares are exact
+    fractions, so at every slot of a phase each source has had its share of the phase's slots,
+    more or less than one block, however many slots there are and however small the share. When
+    a source has no block left, a new phase shares its weight among the others.
 
-
-def pfair_period(shares: Mapping[str, int]) -> list[str]:
-    """One period of slots: block i (from 0) of a source of weight w is released at floor(i / w) and due by
-    ceil((i + 1) / w); of the released blocks the one due first goes, then the heavier source.
-
-    At every slot each source has had its share of the slots so far, more or less than one block.
+    Holds one entry a source, never the schedule.
     """
-    period = sum(shares.values())
-    names = sorted(shares, key=lambda s: (-shares[s], s))
-    waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    slots = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // shares[names[k]]), k, i))
-        _, k, i = heapq.heappop(ready)
-        slots.append(names[k])
-        if i + 1 < shares[names[k]]:
-            heapq.heappush(waiting, ((i + 1) * period // shares[names[k]], k, i + 1))
-    return slots
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[Phase]:
-    """The phases in which all blocks are used up: when a source ends, the others go on by their weights."""
-    left, used = dict(blocks), dict.fromkeys(blocks, 0)
-    out, slot = [], 0
-    while active := {s: weights[s] for s, n in left.items() if n > 0}:
-        shares = integer_shares(active, max(period, len(active)))
-        slots = pfair_period(shares)
-        whole = min(left[s] // shares[s] for s in active)
-        taken = {s: whole * shares[s] for s in active}
-        length = whole * len(slots)
-        for s in slots:
-            if any(taken[a] == left[a] for a in active):
-                break
-            taken[s] += 1
-            length += 1
-        out.append(Phase(shares, slots, slot, length, {s: used[s] for s in active}))
-        slot += length
-        for s in active:
-            left[s] -= taken[s]
-            used[s] += taken[s]
-    return out
+    left = {s: n for s, n in blocks.items() if n > 0}
+    whole = whole_weights({s: weights[s] for s in left}) if left else {}
+    used = dict.fromkeys(left, 0)
+    while left:
+        names = sorted(left, key=lambda s: (-whole[s], s))
+        total = sum(whole[s] for s in names)
+        waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block of the phase
+        ready: list[tuple[int, int, int]] = []  # deadline, source, block of the phase
+        slot = 0
+        while len(left) == len(names):
+            while waiting and waiting[0][0] <= slot:
+                _, k, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(i + 1) * total // whole[names[k]]), k, i))
+            _, k, i = heapq.heappop(ready)
+            source = names[k]
+            yield source, used[source]
+            slot += 1
+            used[source] += 1
+            left[source] -= 1
+            if left[source]:
+                heapq.heappush(waiting, ((i + 1) * total // whole[source], k, i + 1))
+            else:
+                del left[source]
 
 
 def _name(source: str | None) -> str:
@@ -101,37 +78,38 @@ def mix(
     weights: Mapping[str | None, float] | None = None,
     power: float = 0.5,
     block_rows: int = 64,
-    period: int = 1_000,
 ) -> DataFrame:
     """`row` (all columns), rank, block and slot for every row of `docs`: its place in the mix.
 
     The mix is the order of (slot, rank). Each source's rows, ranked by a digest, form blocks of
     `block_rows`; a slot takes one block. Without `weights` they are the sources' sizes to the
-    `power`. Weights become whole slots of a period, blocks get the release times and deadlines
-    of Pfair scheduling, and earliest deadline first fills the period; the same period is
-    repeated. So at any slot of a phase a source has had its weight's share of the phase's slots
-    up to less than one block. When a source is used up, a new phase shares its weight among
-    the others: every row is placed exactly once.
+    `power`. Blocks get the release times and deadlines of Pfair scheduling from the exact
+    weights, and earliest deadline first interleaves them (`pfair`): at any slot of a phase a
+    source has had its weight's share of the phase's slots up to less than one block. When a
+    source is used up, a new phase shares its weight among the others: every row is placed
+    exactly once.
 
-    The driver gets one count per source (at most `MOST_SOURCES`, more is an error) and plans
-    `period` slots for each phase; rows never pass through it. Ranks are counted in groups of
-    about `ROWS_PER_GROUP` rows with neighbouring digests, so a heavy source is many groups.
+    The driver gets one count per source, of any number of sources. The schedule, one short row
+    per block, is streamed by one task and written; documents never pass through it. Ranks are
+    counted in groups of about `ROWS_PER_GROUP` rows with neighbouring digests, so a heavy source
+    is many groups.
 
     A null source is a source of its own. A source without a weight, or with one that is not
-    positive, is an error. Rows with a null or repeated doc_id or text are ordinary rows.
+    positive, is an error. Rows with a null or repeated doc_id or text are ordinary rows; texts of
+    any length only ride along. An empty table gives no rows. Other columns, whatever their
+    names, stay inside `row`.
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     source = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     named = docs.select(row.alias("row"), source.alias("name"))
-    counts = {r["name"]: r["n"] for r in named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).take(MOST_SOURCES + 1)}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r["name"]: r["n"] for r in named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     chosen = smoothed(counts, power) if weights is None else {_name(s): w for s, w in weights.items()}
     if missing := [s for s in counts if not chosen.get(s, 0) > 0]:
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    plan = phases(blocks, chosen, period)
+    schedule = spark.range(0, 1, 1, 1).mapInArrow(_schedule(blocks, chosen), "name string, block bigint, slot bigint")
+    slots = materialise(schedule, "slots")
 
     groups = spark.createDataFrame(
         pa.table({"name": pa.array(counts, pa.string()), "groups": pa.array([-(-n // ROWS_PER_GROUP) for n in counts.values()], pa.int64())})
@@ -154,31 +132,22 @@ def mix(
         .withColumn("rank", F.col("before") + F.col("inside"))
         .withColumn("block", F.expr(f"rank div {int(block_rows)}"))
     )
-    return ranked.join(_slots(docs, plan), ["name", "block"]).select("row", "rank", "block", "slot")
-
-
-def _slots(docs: DataFrame, plan: list[Phase]) -> DataFrame:
-    """(name, block, slot) of every block, from the phases' periods."""
-    columns: dict[str, list] = {k: [] for k in ("name", "first", "last", "first_slot", "period", "places")}
-    for phase, following in zip(plan, [*plan[1:], None]):
-        places: dict[str, list[int]] = {}
-        for k, s in enumerate(phase.slots):
-            places.setdefault(s, []).append(k)
-        rounds, part = divmod(phase.length, len(phase.slots))
-        for s, own in places.items():
-            n = rounds * len(own) + sum(k < part for k in own)
-            if n:
-                first = phase.first_block[s]
-                for key, value in zip(columns, (s, first, first + n - 1, phase.first_slot, len(phase.slots), own)):
-                    columns[key].append(value)
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    table = docs.sparkSession.createDataFrame(
-        pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), types)})
-    )
-    local = F.col("block") - F.col("first")
-    share = F.size("places")
-    return table.withColumn("block", F.explode(F.sequence("first", "last"))).select(
-        "name",
-        "block",
-        (F.col("first_slot") + F.floor(local / share) * F.col("period") + F.get("places", (local % share).cast("int"))).alias("slot"),
-    )
+    return ranked.join(slots, ["name", "block"]).select("row", "rank", "block", "slot")
+
+
+def _schedule(blocks: Mapping[str, int], weights: Mapping[str, float]):
+    """The rows of the schedule, batch by batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            placed = enumerate(pfair(blocks, weights))
+            while part := list(islice(placed, SLOTS_PER_BATCH)):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "name": pa.array([s for _, (s, _) in part], pa.string()),
+                        "block": pa.array([b for _, (_, b) in part], pa.int64()),
+                        "slot": pa.array([k for k, _ in part], pa.int64()),
+                    }
+                )
+
+    return work

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.textops import byte_values, chunks, covered, minimizers, sliding_min, span_hashes
+from docketry.llm.textops import chunks, covered, minimizers, sliding_min, span_hashes, word_hashes
 from docketry.store import materialise
 
 PATTERN_WORDS_PER_SHARD = 200_000
@@ -22,7 +22,7 @@ RESULT = {"kept_text": T.StringType(), "n_words": T.LongType(), "n_removed": T.L
 def _grams(chunk, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, hashes of all runs of `gram` words, and the first word of each text."""
     starts, ends, first = chunk.words()
-    words = span_hashes(byte_values(chunk.data), starts, ends)
+    words = word_hashes(chunk.data, starts, ends)
     at = np.arange(max(len(words) - gram + 1, 0))
     return words, span_hashes(words, at, at + gram), first
 

@@ -24,16 +24,17 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """The labels from right to left, each with a closing space: a domain's key starts the keys of all below it.
+    """The labels from right to left, as an array: a domain's key starts the keys of all below it.
 
-    A space sorts before all signs of a host, so the hosts below a domain follow it directly.
+    Arrays are ordered label by label and a start comes before what it starts, so the hosts below
+    a domain follow it directly, whatever signs a label holds.
     """
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), " "), F.lit(" "))
+    return F.reverse(F.split(host, r"\."))
 
 
 def sweep_of(key: Column) -> Column:
     """The first two labels of a key: the hosts that are swept together."""
-    return F.substring_index(key, " ", 2)
+    return F.slice(key, 1, 2)
 
 
 def _with_stacks(rules: DataFrame) -> DataFrame:
@@ -51,10 +52,7 @@ def _with_stacks(rules: DataFrame) -> DataFrame:
             "verdict",
         ).alias("entry"),
     ).withColumn("entry", F.col("entry").withField("key", F.col("key")))
-    labels = F.split("key", " ")
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), " "), F.lit(" "))
-    )
+    starts = F.transform(F.sequence(F.lit(1), F.size("key")), lambda n: F.slice("key", F.lit(1), n))
     domains = rules.select("key").distinct()
     chains = domains.select("key", F.explode(starts).alias("above"))
     above = rules.withColumnRenamed("key", "above")
@@ -71,7 +69,8 @@ def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     closed before the host are popped.
 
     Hosts are swept by their first two labels; a domain of one label is handed to every sweep
-    below it. A sweep of very many hosts is salted into several, each with all its rules.
+    below it. A sweep of very many hosts is salted into several, each with all its rules; the
+    result is the same for any number of salts.
     """
     stacks = _with_stacks(rules)
     keyed = hosts.select("host", host_key(F.col("host")).alias("key")).withColumn("sweep", sweep_of(F.col("key")))
@@ -80,9 +79,9 @@ def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     )
     keyed = keyed.join(sweeps, "sweep").withColumn("salt", F.pmod(F.xxhash64("host"), F.col("salts")))
     opened = stacks.withColumn("sweep", sweep_of(F.col("key")))
-    deep = opened.filter("length(key) - length(replace(key, ' ', '')) >= 2").join(sweeps, "sweep")
-    top = opened.filter("length(key) - length(replace(key, ' ', '')) < 2").withColumn("first", F.substring_index("sweep", " ", 1))
-    top = top.drop("sweep").join(sweeps.withColumn("first", F.substring_index("sweep", " ", 1)), "first")
+    deep = opened.filter("size(key) >= 2").join(sweeps, "sweep")
+    top = opened.filter("size(key) < 2").withColumn("first", F.slice("sweep", 1, 1))
+    top = top.drop("sweep").join(sweeps.withColumn("first", F.slice("sweep", 1, 1)), "first")
     columns = ["sweep", "salts", "key", "stack"]
     events = deep.select(*columns).unionByName(top.select(*columns))
     events = events.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
@@ -91,7 +90,7 @@ def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     )
     so_far = W.partitionBy("sweep", "salt").orderBy("key", F.col("host").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     swept = rows.withColumn("top", F.last("stack", ignorenulls=True).over(so_far)).filter("host is not null")
-    active = F.filter("top", lambda rule: F.col("key").startswith(rule["key"]))
+    active = F.filter("top", lambda rule: F.slice("key", F.lit(1), F.size(rule["key"])) == rule["key"])
     return swept.select("host", active.alias("active")).filter("size(active) > 0")
 
 
@@ -106,7 +105,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", url
     Distinct hosts are swept, then joined to the pages by host: a host with very many pages is
     swept once, and its pages are split as a heavy join key. Rules with a null host, path or
     verdict fit nothing. A null url, or one without "://", has an empty host and path, which no
-    rule fits. Repeated rows are judged alike.
+    rule fits. Hosts and paths may be of any length and hold any signs, blanks too. Repeated rows
+    are judged alike, an empty table gives no rows, and columns of any name stay inside `row`.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
     urls = pages.select(row.alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))

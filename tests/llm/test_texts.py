@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from docketry.llm.graph import components
 from docketry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from docketry.llm.maxent import Shape, score_texts
 from docketry.llm.minhash import keep_one_of_each, near_duplicates
-from docketry.llm.mixing import integer_shares, mix, pfair_period, phases
+from docketry.llm.mixing import mix, pfair, whole_weights
 from docketry.llm.phrases import remove_repeated_passages
 from docketry.llm.quality import bucket, judge
 from docketry.llm.suffixes import remove_repeated_bytes
@@ -88,6 +90,18 @@ def test_open_buckets_lose_no_link(spark, monkeypatch):
         assert got == want
 
 
+def test_long_periodic_words_differ(spark):
+    """Two words of 1,024 letters that a polynomial modulo 2^64 cannot tell apart."""
+    bits = [0]
+    for _ in range(11):
+        bits += [1 - x for x in bits]
+    words = ["".join("ab"[x] for x in bits[i : i + 1024]) for i in (0, 1024)]
+    assert words[0] != words[1]
+    pairs = [(i, " ".join([w, "x", w, "y", w, "z", w])) for i, w in enumerate(words)]
+    got = near_duplicates(spark.createDataFrame(pairs, "doc_id bigint, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (3, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -141,26 +155,52 @@ def test_sketch_buckets(spark):
     assert all(b <= i and 16 * (i - b) <= i for i, b in enumerate(values)) and values == sorted(values)
 
 
-def test_pfair_stays_within_one_block():
-    for weights in ({"a": 5, "b": 1, "c": 1e-6}, {str(i): 1 + (i == 3) * 50 for i in range(40)}, {"x": 1}):
-        shares = integer_shares(weights, 101)
-        slots, had = pfair_period(shares), Counter()
-        assert Counter(slots) == shares and sum(shares.values()) == 101
-        for t, s in enumerate(slots, 1):
-            had[s] += 1
-            assert all(abs(had[x] * 101 - t * n) < 101 for x, n in shares.items())
-
-
-def test_phases_use_every_block_once():
-    plan = phases({"a": 7, "b": 500, "c": 0, "d": 1}, {"a": 3, "b": 1, "c": 9, "d": 1}, 20)
-    used = Counter()
-    for p in plan:
-        used.update(p.slots[k % len(p.slots)] for k in range(p.length))
-    assert used == {"a": 7, "b": 500, "d": 1} and [p.first_slot for p in plan][0] == 0
+def schedule_by_loops(blocks, weights):
+    """Earliest deadline first, looking at every source anew for every slot."""
+    left, out = {s: n for s, n in blocks.items() if n}, []
+    used = dict.fromkeys(left, 0)
+    while left:
+        total = sum(Fraction(weights[s]) for s in left)
+        share = {s: Fraction(weights[s]) / total for s in left}
+        had, slot, sources = dict.fromkeys(left, 0), 0, len(left)
+        while len(left) == sources:
+            free = [s for s in left if math.floor(had[s] / share[s]) <= slot]
+            s = min(free, key=lambda s: (math.ceil((had[s] + 1) / share[s]), -share[s], s))
+            out.append((s, used[s]))
+            had[s], used[s], left[s], slot = had[s] + 1, used[s] + 1, left[s] - 1, slot + 1
+            if not left[s]:
+                del left[s]
+    return out
+
+
+CASES = [
+    ({"a": 200, "b": 300, "c": 9}, {"a": 5, "b": 1, "c": 1e-6}),
+    ({str(i): 20 + i for i in range(40)}, {str(i): 1 + (i == 3) * 50 for i in range(40)}),
+    ({"x": 4}, {"x": 0.1}),
+    ({"a": 7, "b": 500, "c": 0, "d": 1}, {"a": 3, "b": 1.7, "c": 9, "d": 1}),
+    ({}, {}),
+]
+
+
+@pytest.mark.parametrize("blocks, weights", CASES)
+def test_schedule(blocks, weights):
+    assert list(pfair(blocks, weights)) == schedule_by_loops(blocks, weights)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 1e-6, "b": 1}, {"a": 0.1, "b": 0.2, "c": 0.3}, {str(i): i**0.5 for i in range(1, 1200)}])
+def test_schedule_stays_within_one_block_of_any_weights(weights):
+    """Exact shares at every slot, over many slots, for small shares, and for many sources."""
+    whole, had, slots = whole_weights(weights), Counter(), 300_000 if len(weights) < 9 else 20_000
+    total = sum(whole.values())
+    for t, (s, _) in enumerate(islice(pfair(dict.fromkeys(weights, slots), weights), slots), 1):
+        had[s] += 1
+        assert abs(had[s] * total - t * whole[s]) < total
+        if t % 997 == 0 or t == slots:
+            assert all(abs(had[x] * total - t * w) < total for x, w in whole.items())
 
 
 def test_mix(docs, odd, nothing):
-    placed = mix(docs, weights={"a": 2, "b": 1, None: 1}, block_rows=3, period=8).select("*", "row.doc_id", "row.source").collect()
+    placed = mix(docs, weights={"a": 2, "b": 1, None: 1}, block_rows=3).select("*", "row.doc_id", "row.source").collect()
     assert sorted(r.doc_id for r in placed) == sorted(i for i, _ in PAIRS)
     by_source = {}
     for r in placed:
@@ -168,7 +208,10 @@ def test_mix(docs, odd, nothing):
     for own in by_source.values():
         assert sorted(own) == [(i, i // 3) for i in range(len(own))]
     slots = {(r.source, r.block): r.slot for r in placed}
-    assert sorted(slots.values()) == list(range(len(slots)))
+    counts = {s: 1 + max(b for _, b in own) for s, own in by_source.items()}
+    name = lambda s: "" if s is None else f"={s}"
+    plan = schedule_by_loops({name(s): n for s, n in counts.items()}, {"=a": 2, "=b": 1, "": 1})
+    assert {(name(s), b): k for (s, b), k in slots.items()} == {x: k for k, x in enumerate(plan)}
     assert mix(odd[0]).count() == len(odd[1]) and mix(nothing).count() == 0
     with pytest.raises(ValueError, match="weight"):
         mix(docs, weights={"a": 1})
@@ -196,6 +239,30 @@ def test_license_texts_with_changed_words(spark):
     assert got[2].labels == got[3].labels == "" and got[3].score == 0
 
 
+CC = "This work is licensed under a Creative Commons "
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (CC + "Attribution 4.0 International License.", "cc-by"),
+        (CC + "Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        (CC + "Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+        (CC + "Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        (CC + "Zero v1.0 Universal License.", "cc0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+         "License as published by the Free Software Foundation, either version 3", "gpl"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+         "Public License as published by the Free Software Foundation", "lgpl"),
+        (CC + "Attribution 3.0 Unported License. Later: " + CC + "Zero v1.0 Universal License", "cc-by,cc0"),
+        (CC + "license of some kind", ""),
+    ],
+)
+def test_license_texts_that_begin_alike(spark, text, labels):
+    got = scan_licenses(spark.createDataFrame([(1, "x y " + text + " z", "clash")], "doc_id bigint, text string, template string")).collect()
+    assert [r.labels for r in got] == [labels]
+
+
 def test_base_scores(docs, odd, nothing):
     expected = brute.unigram(PAIRS)
     shape = Shape(rounds=2, broadcast_tokens=1100)
@@ -273,4 +340,3 @@ def test_pipeline(spark, docs):
             assert {r.doc_id: r.text.split() for r in frame.collect()} == {i: t.split() for i, t in expected.items()}
     encoded = STAGES[-1][1](spark, frame, "").collect()
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in encoded) and len(encoded) == len(expected)
-    assert hashlib.sha256 is not None

@@ -83,6 +83,8 @@ URLS = [
     "https://notexample.net/en/", "http://a.b.example.net/xy", "http://b.example.net/xy", "http://c.b.example.net/x", "http://example.com/de/",
     "http://example.com/DE/", "http://example.org/fr/", "http://org", "no scheme", "://x.net/", "", None, "http://EXAMPLE.com:80/de/",
     "http://u:p@example.com/de/1", "ftp://a.b://c/en/", "http://example.net", "http://b.example.net/x\n/y", "http://é.net/ü", "http:///en/",
+    "http://example zz.net/en/1", "http://example y.com/de/1", "http://org z/fr/", "http://a\tb.net/x", "http://x\x01.example.net/en/",
+    "http://.net/", "http://net./", "http://a..net/", "http://" + "a." * 3000 + "net/" + "x" * 5000, "http://b.example.net/" + "x/" * 9000,
 ]
 
 
