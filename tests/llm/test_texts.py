@@ -12,7 +12,7 @@ from itertools import islice
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import minhash
+from docketry.llm import minhash, sieve, suffixes
 from docketry.llm.bpe import RankBitmap, Vocabulary, encode_texts
 from docketry.llm.graph import components
 from docketry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
@@ -122,7 +122,9 @@ def test_passages_with_odd_rows(odd):
     assert {r.rest for r in got} == {"r"}
 
 
-def test_repeated_bytes(docs, odd, nothing):
+@pytest.mark.parametrize("bucket_rows", [1000, 3])
+def test_repeated_bytes(docs, odd, nothing, monkeypatch, bucket_rows):
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", bucket_rows)
     for frame, pairs in ((docs, PAIRS), odd):
         found = remove_repeated_bytes(frame).select("rest.doc_id", "kept", "n_bytes", "n_removed", "n_spans").collect()
         got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in found)
@@ -130,6 +132,41 @@ def test_repeated_bytes(docs, odd, nothing):
     assert remove_repeated_bytes(nothing).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [1000, 5])
+def test_passages_with_edges_in_common(spark, monkeypatch, bucket_rows):
+    """One passage in very many texts, which agree by chance in some bytes before and after it: buckets must split."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(380))
+    texts = []
+    for _ in range(150):
+        before = "".join(rng.choice("xy") for _ in range(rng.choice([0, 3, 60]))) + "-" * rng.randint(0, 30)
+        after = "+" * rng.randint(0, 30) + "".join(rng.choice("xy") for _ in range(rng.choice([0, 2, 60])))
+        texts.append(before + passage + after)
+    middle = passage[:300] + "#" + passage[301:]
+    texts += [f"{i}" * 30 + middle + "tail" * 10 for i in range(9)] + ["é" * 300, "é" * 299, "z" * 3000, "z" * 399, "z" * 400]
+    pairs = list(enumerate(texts))
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", bucket_rows)
+    frame = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    found = remove_repeated_bytes(frame).select("rest.doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans").collect()
+    want = Counter(brute.repeated_bytes(pairs))
+    assert Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in found) == want
+    assert all(r.kept_text == bytes(r.kept).decode("utf-8", "replace") for r in found)
+    assert 20 < sum(0 < w[3] < w[2] for w in want) and any(w[3] == 0 for w in want)
+
+
+def test_sieve_loses_no_key(spark, monkeypatch):
+    rows = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"))
+    keys = rows.filter("a % 10 = 3").select("b", "a")
+    for bits in (sieve.BITS, 64):
+        monkeypatch.setattr(sieve, "BITS", bits)
+        maybe, never = sieve.split(rows, keys, ["a", "b"])
+        assert maybe.columns == rows.columns and maybe.count() + never.count() == 5000
+        assert never.join(keys, ["a", "b"], "left_semi").count() == 0
+        assert (maybe.count() < 520) == (bits > 64)
+    maybe, never = sieve.split(rows, keys.filter("false"), ["a", "b"])
+    assert maybe.count() == 0 and never.count() == 5000
+
+
 def test_quality(docs, odd, nothing):
     texts = dict(PAIRS)
     for r in judge(docs, with_text=True).select("*", "rest.doc_id").collect():
