@@ -12,7 +12,7 @@ from itertools import islice
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import minhash, sieve, suffixes
+from docketry.llm import minhash, phrases, sieve, suffixes
 from docketry.llm.bpe import RankBitmap, Vocabulary, encode_texts
 from docketry.llm.graph import components
 from docketry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
@@ -108,13 +108,58 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 160)}}
 
 
-def test_passages(docs, nothing):
+@pytest.mark.parametrize("words_per_shard, documents_per_team", [(200_000, 2000), (150, 4)])
+def test_passages(docs, nothing, monkeypatch, words_per_shard, documents_per_team):
+    monkeypatch.setattr(phrases, "PATTERN_WORDS_PER_SHARD", words_per_shard)
+    monkeypatch.setattr(phrases, "DOCUMENTS_PER_TEAM", documents_per_team)
     got = {r.doc_id: (r.kept_text, r.n_words, r.n_removed) for r in remove_repeated_passages(docs).select("rest.doc_id", "kept_text", "n_words", "n_removed").collect()}
     assert got == brute.passages(PAIRS)
     assert sum(v[2] > 0 for v in got.values()) > 8
     assert remove_repeated_passages(nothing).count() == 0
 
 
+def test_what_the_automata_do_not_find_stays(docs, monkeypatch):
+    """Beside whole copies, removal comes from the automata alone."""
+    find = phrases._occurrences
+    monkeypatch.setattr(phrases, "_occurrences", lambda *args: find(*args).filter("false"))
+    copies = {t for t, n in Counter(t for _, t in PAIRS).items() if n > 1}
+    got = remove_repeated_passages(docs).select("text", "n_removed").collect()
+    assert {r.text for r in got if r.n_removed} <= copies
+
+
+def test_shard():
+    split = lambda text: [w.encode() for w in text.split()]
+    passage = [f"p{i}" for i in range(30)]
+    shard = phrases.Shard(10, [(5, split(" ".join(passage))), (7, split("p3 " * 40)), (2, split(" ".join(passage[:12])))])
+    locate = lambda doc_id, words: shard.locate(doc_id, split(" ".join(words)))
+    assert locate(9, ["a", *passage[4:20], "b"]) == [(1, 17)]
+    assert locate(9, [*passage[4:13], "b"]) == [] and locate(5, passage[12:]) == [] and locate(2, passage) == []
+    assert locate(3, passage) == [(0, 12)] and set(locate(6, passage)) == {(0, 12), (0, 30)}
+    assert (0, 45) not in locate(9, ["p3"] * 45) and max(h for _, h in locate(9, ["p3"] * 45)) == 45
+    assert phrases.Shard(10, []).locate(1, split("a b")) == []
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 50])
+def test_passages_of_alike_documents(spark, monkeypatch, window):
+    """Copies with changed words, passages within passages, repeats in one text, all below one another."""
+    rng = random.Random(window)
+    base = [f"w{rng.randrange(60)}" for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        low = rng.randrange(200)
+        words = base[low : low + rng.randint(1, 300)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(5)}"
+        texts.append(" ".join(words + words[: rng.randrange(60)]))
+    pairs = list(enumerate(texts))
+    rng.shuffle(pairs)
+    monkeypatch.setattr(phrases, "PATTERN_WORDS_PER_SHARD", 300)
+    monkeypatch.setattr(phrases, "DOCUMENTS_PER_TEAM", 9)
+    frame = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    found = remove_repeated_passages(frame, window, gram=min(16, window)).select("rest.doc_id", "kept_text", "n_words", "n_removed").collect()
+    assert {r.doc_id: (r.kept_text, r.n_words, r.n_removed) for r in found} == brute.passages(pairs, window)
+
+
 def test_passages_with_odd_rows(odd):
     frame, pairs = odd
     got = remove_repeated_passages(frame).select("rest.*", "text", "kept_text", "n_removed").collect()
