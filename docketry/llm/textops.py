@@ -10,6 +10,7 @@ import pyarrow as pa
 # White space of the word rule: blank and the five control characters 09-0D.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 CHUNK_BYTES = 1 << 20
+WORD_BYTES = 1 << 16
 
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,16 +69,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     """A 64-bit hash of each word data[start:end], none of them empty: the sum of a mixed value per byte and place.
 
     Unlike a polynomial modulo 2^64, which some pairs of long periodic words defeat for any base,
-    a byte's value depends on its place in no regular way.
+    a byte's value depends on its place in no regular way. Works on `WORD_BYTES` at a time, or on
+    one longer word.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    letters = data[np.repeat(starts, lengths) + place].astype(np.uint64)
-    values = mix((place.astype(np.uint64) << np.uint64(8) | letters) + _SEEDS[which])
-    return mix(np.add.reduceat(values, first) + _SEEDS[which])
+    upto = np.cumsum(lengths)
+    out = np.zeros(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        done = int(upto[low - 1]) if low else 0
+        high = max(int(np.searchsorted(upto, done + WORD_BYTES, "right")), low + 1)
+        size = lengths[low:high]
+        first = upto[low:high] - size - done
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        values = data[np.repeat(starts[low:high], size) + place].astype(np.uint64)
+        values |= place.astype(np.uint64) << np.uint64(8)
+        values += _SEEDS[which]
+        out[low:high] = np.add.reduceat(mix(values), first) + _SEEDS[which]
+        low = high
+    return mix(out)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
