@@ -60,7 +60,94 @@ FROM full_nodes n JOIN totals t USING (depth, prefix)
 LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
 """
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Components by closure: every node reaches itself and whatever its links reach.
+_COMPONENTS = """edges(a, b) AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, l.b FROM reach r JOIN edges l ON r.b = l.a),
+smallest AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
+
+OP1 = f"""
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links(a, b) AS (
+  SELECT x.vec_id, y.vec_id FROM able x JOIN able y
+    ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id < y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+), {_COMPONENTS},
+degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(component, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(component, vec_id)) AS kept
+FROM embeddings LEFT JOIN degrees d ON d.id = vec_id LEFT JOIN smallest s ON s.id = vec_id
+"""
+
+OP2 = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, place, array_to_string(w[place + 1:place + 50], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS place FROM texts WHERE len(w) >= 50)
+), firsts AS (
+  SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(place, place + 50)) AS k FROM windows JOIN firsts USING (words) WHERE first_id < doc_id
+), kept AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.k) AS kept_text, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM texts) t ANTI JOIN gone USING (doc_id, k)
+  GROUP BY t.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(kept_text, '')) AS kept_sha256, coalesce(kept_text, '') AS kept_text
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+OP7 = r"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), fits AS (
+  SELECT page_id, max_by(concat(rule_host, rule_path), strlen(concat(rule_host, rule_path))) AS rule,
+    max_by(rule_verdict, strlen(concat(rule_host, rule_path))) AS verdict
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, concat('.', rule_host))) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+OP9 = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORD}'), []) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[place + 1:place + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS place FROM texts WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links(a, b) AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)
+), {_COMPONENTS}
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(component, t.doc_id)) AS component_id,
+  t.doc_id = least(t.doc_id, coalesce(component, t.doc_id)) AS kept
+FROM texts t LEFT JOIN sizes z ON z.doc_id = t.doc_id LEFT JOIN smallest s ON s.id = t.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": OP1,
+    "op2_substring_dedup": OP2,
+    "op7_url_filter": OP7,
+    "op9_minhash_near_dedup": OP9,
     "op12_exact_top_k": OP12,
     "op13_conversation_trie": OP13,
 }
