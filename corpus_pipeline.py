@@ -15,7 +15,7 @@ from docketry.llm.minhash import keep_one_of_each
 from docketry.llm.mixing import mix
 from docketry.llm.phrases import remove_repeated_passages
 from docketry.llm.quality import judge
-from docketry.store import ensure_shared_folder, materialise
+from docketry.store import finished, free
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -74,9 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    ensure_shared_folder(spark)
+    """All stages over the documents, each written and read again.
+
+    What a stage writes on the way goes when its result is written, and that result when the next
+    one is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, finished(spark, name, lambda: stage(spark, docs, sf_dir), always=True)
+        free(before)
     return docs

@@ -95,12 +95,15 @@ def owned(spark: SparkSession) -> Iterator[list[str]]:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def finished(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The frame `build` makes, written for the caller's block if tables were written on the way; those go."""
+def finished(spark: SparkSession, name: str, build: Callable[[], DataFrame], always: bool = False) -> DataFrame:
+    """The frame `build` makes, written for the caller's block if tables were written on the way; those go.
+
+    With `always` it is written in any case.
+    """
     outer = _open_blocks(spark)[-1]
     with owned(spark) as block:
         df = build()
-        return _write(df, name, (), outer) if block else df
+        return _write(df, name, (), outer) if block or always else df
 
 
 def clean_up(spark: SparkSession) -> None:

@@ -311,6 +311,9 @@ def test_tables_are_freed_one_by_one(spark, frame, folder):
 def test_a_result_without_tables_stays_a_plan(spark, frame, folder):
     assert store.finished(spark, "result", lambda: frame) is frame
     assert not list(folder.iterdir())
+    assert store.finished(spark, "result", lambda: frame, always=True).count() == frame.count()
+    assert tables_in(folder) == ["result"]
+    store.clean_up(spark)
 
 
 def test_offsets_in_two_levels(spark, folder):
