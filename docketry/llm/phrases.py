@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.llm.sieve import split
-from docketry.llm.textops import chunks, minimizers, sliding_min, span_hashes, word_hashes
+from docketry.llm.textops import chunks, minimizers, sliding_min, small_batches, span_hashes, word_hashes
 from docketry.store import free, materialise
 
 PATTERN_WORDS_PER_SHARD = 200_000
@@ -217,7 +217,7 @@ def _locate(window: int):
 
 def _remove(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, is_copy, spans = batch.column("text"), batch.column("copy").to_pylist(), batch.column("spans")
             kept, n_words, n_removed = [], [], []
             for i in range(len(batch)):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.llm.sieve import split
-from docketry.llm.textops import byte_values, chunks, covered, minimizers, mix, span_hashes
+from docketry.llm.textops import byte_values, chunks, covered, minimizers, mix, small_batches, span_hashes
 from docketry.store import free, materialise
 
 GRAM = 64
@@ -234,7 +234,7 @@ def _recurring_starts(edges: DataFrame) -> DataFrame:
     for part in small:
         settled.append(part.filter(F.col("a") + F.col("b") == reach).select(*KEY, (F.col("at") - F.col("a")).alias("start")))
         sorted_ones.append(part.filter(F.col("a") + F.col("b") < reach))
-    ordered = reduce(DataFrame.unionByName, sorted_ones).repartition("core").sortWithinPartitions(*BUCKET)
+    ordered = reduce(DataFrame.unionByName, sorted_ones).repartition(*BUCKET).sortWithinPartitions(*BUCKET)
     found = ordered.mapInArrow(_sort_buckets, ", ".join(f"{k} bigint" for k in KEY) + ", start bigint")
     starts = reduce(DataFrame.unionByName, settled, found).groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
     starts = materialise(starts, "starts")
@@ -244,7 +244,7 @@ def _recurring_starts(edges: DataFrame) -> DataFrame:
 
 def _remove(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             is_copy = batch.column("copy").to_pylist()
             samples, starts = batch.column("samples"), batch.column("starts")
             kept, kept_text, n_bytes, n_removed, n_spans = [], [], [], [], []

@@ -11,6 +11,7 @@ import pyarrow as pa
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 CHUNK_BYTES = 1 << 20
 WORD_BYTES = 1 << 16
+ROWS_OUT = 500
 
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,6 +141,13 @@ def chunks(texts: pa.Array, chunk_bytes: int = CHUNK_BYTES, lower: bool = False)
         row = end
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS_OUT) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few, for work that returns texts: a batch's results are held whole."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` consecutive values."""
     if len(values) < width:
