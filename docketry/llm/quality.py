@@ -14,9 +14,10 @@ BLANK_PATTERN = "[ \\t-\\r]"
 SYMBOLS = "#*$%&|<>"
 
 MEASURES = ("word_length", "symbols", "dup_lines", "repeat_words")
-# Thousandths below which no measure is held against a text, whatever its group looks like.
-SLACK = {"word_length": 0, "symbols": 100, "dup_lines": 350, "repeat_words": 300}
-LEAST_ROWS = 100
+# Measures that most texts have none of: their limit also leaves room for what 99 in 100 texts have.
+SPARSE = ("symbols", "dup_lines", "repeat_words")
+# So many rows of the next wider kind count for the limits of a group, beside its own.
+PRIOR_ROWS = 100
 
 
 def word_array(text: Column) -> Column:
@@ -103,33 +104,37 @@ def sketches(measured: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Rows, and the buckets of the first and last decile, per group and measure."""
+    """Rows, and the buckets that 10, 90 and 99 in 100 rows do not exceed, per group and measure."""
     by = F.array_sort(F.collect_list(F.struct("bucket", "n")))
     grouped = sketch.groupBy(*keys, "measure").agg(F.sum("n").alias("rows"), by.alias("buckets"))
 
-    def at(tenth: int) -> Column:
+    def at(percent: int) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("bucket"))
         return F.aggregate(
             "buckets", start,
             lambda a, x: F.struct(
                 (a["n"] + x["n"]).alias("n"),
-                F.when(a["bucket"].isNull() & (10 * (a["n"] + x["n"]) >= tenth * F.col("rows")), x["bucket"])
+                F.when(a["bucket"].isNull() & (100 * (a["n"] + x["n"]) >= percent * F.col("rows")), x["bucket"])
                 .otherwise(a["bucket"]).alias("bucket"),
             ),
             lambda a: a["bucket"],
         )
 
-    return grouped.select(*keys, "measure", "rows", at(1).alias("low"), at(9).alias("high"))
+    return grouped.select(*keys, "measure", "rows", at(10).alias("low"), at(90).alias("high"), at(99).alias("tail"))
 
 
 def thresholds(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group its rows and, for each measure, the lowest and the highest value that passes."""
+    """Per group its rows and, for each measure, what it says of the highest and the lowest value that passes.
+
+    The room for sparse measures is the same for all groups and added later.
+    """
     found = quantiles(sketch, *keys)
     wide = [F.max("rows").alias("rows")]
     for m in MEASURES:
         mine = F.col("measure") == m
-        wide.append(F.max(F.when(mine, 2 * F.col("high") + SLACK[m])).alias(f"{m}_most"))
-        wide.append(F.max(F.when(mine, F.expr("low div 2"))).alias(f"{m}_least"))
+        wide.append(F.max(F.when(mine, 2.0 * F.col("high"))).alias(f"{m}_most"))
+        wide.append(F.max(F.when(mine, 0.5 * F.col("low"))).alias(f"{m}_least"))
+        wide.append(F.max(F.when(mine, F.col("tail"))).alias(f"{m}_tail"))
     return found.groupBy(*keys).agg(*wide)
 
 
@@ -139,15 +144,19 @@ def judge(docs: DataFrame, with_text: bool = False) -> DataFrame:
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows.
     Rows that pass are judged against their own kind: each (lang, source) has a mergeable
     quantile sketch of four measures (word length, symbols per word, repeated lines per line,
-    words in repeated windows per word). Kept is a row whose measures are at most twice its
-    group's last decile plus `SLACK`, and whose word length is at least half the first decile.
-    Groups of fewer than `LEAST_ROWS` passing rows are judged by the merged sketch of their
-    language, small languages by that of all rows.
+    words in repeated windows per word). Kept is a row whose measures are at most its limits: for
+    word length between half the first and twice the last decile; for the others up to twice the
+    last decile and as much again as 99 in 100 of all rows have. A group's limits are the mean of
+    its own, weighted by its rows, and those of its language, weighted by `PRIOR_ROWS`; a
+    language's are drawn to those of all rows alike. So limits change smoothly with the size of a
+    group, and no size is a switch. The wider kinds' sketches are the merged ones of the groups.
 
     The counted rows are written once: the sketches and the filter both read them. Groups are
     counted with partial counts, so a heavy source is no burden; the limits, one row per group,
     are joined to the rows. Null lang and source are groups of their own. A null or empty text
-    has no words and fails. Repeated rows are judged alike.
+    has no words and fails. A text of any length is counted whole, its windows in one sorted
+    array. Repeated rows are judged alike, an empty table gives no rows, and columns of any name
+    stay inside `rest`.
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(rest.alias("rest"), "lang", "source", "text", *[F.col("text").alias("whole")] * with_text)
@@ -172,13 +181,19 @@ def limits(measured: DataFrame) -> DataFrame:
     own = packed(thresholds(sketch, "lang", "source"), "lang", "source").withColumnRenamed("limits", "own")
     language = packed(thresholds(by_lang, "lang"), "lang").withColumnRenamed("of_lang", "in_lang")
     overall = packed(thresholds(by_all)).scalar()
-    choice = (
-        F.when(F.col("own.rows") >= LEAST_ROWS, F.col("own"))
-        .when(F.col("limits.rows") >= LEAST_ROWS, F.col("limits"))
-        .otherwise(overall)
-    )
-    joined = own.join(language, F.equal_null("of_lang", "in_lang"), "left")
-    return materialise(joined.select("of_lang", "of_source", choice.alias("limits")), "limits")
+    joined = own.join(language, F.equal_null("of_lang", "in_lang"), "left").withColumn("all", overall)
+
+    def drawn(rows: Column, mine: Column, wider: Column) -> Column:
+        return (rows * mine + PRIOR_ROWS * wider) / (rows + PRIOR_ROWS)
+
+    blended = []
+    for m in MEASURES:
+        for end in ("most", "least"):
+            name = f"{m}_{end}"
+            in_lang = drawn(F.col("limits.rows"), F.col(f"limits.{name}"), F.col(f"all.{name}"))
+            room = F.col(f"all.{m}_tail") if end == "most" and m in SPARSE else F.lit(0)
+            blended.append((drawn(F.col("own.rows"), F.col(f"own.{name}"), in_lang) + room).alias(name))
+    return materialise(joined.select("of_lang", "of_source", F.struct(*blended).alias("limits")), "limits")
 
 
 def judge_counts(counted: DataFrame) -> DataFrame:

@@ -124,6 +124,41 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(covered)
 
 
+def quality_verdicts(documents, prior=100):
+    """Kept or not per (doc_id, text, lang, source), by sketches of leading binary digits and limits drawn to wider kinds."""
+    names = ("word_length", "symbols", "dup_lines", "repeat_words")
+    digits = lambda v: v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0)
+    rows = []
+    for i, text, lang, source in documents:
+        n, chars, symbols, dup, repeat = quality_counts(text)
+        lines = len([x for x in (text or "").split("\n") if re.search(WORD, x)])
+        values = (1000 * chars // max(n, 1), 1000 * symbols // max(n, 1), 1000 * dup // max(lines, 1), 1000 * repeat // max(n, 1))
+        rows.append((i, lang, source, n < 50 or 100 * repeat > 50 * n, values))
+
+    def quantile(values, percent):
+        ordered = sorted(map(digits, values))
+        return next(v for k, v in enumerate(ordered, 1) if 100 * k >= percent * len(ordered))
+
+    def own(passing, k):
+        values = [v[k] for *_, v in passing]
+        return 2.0 * quantile(values, 90), 0.5 * quantile(values, 10), quantile(values, 99)
+
+    passing = [r for r in rows if not r[3]]
+    draw = lambda n, mine, wider: (n * mine + prior * wider) / (n + prior)
+    kept = []
+    for i, lang, source, failed, values in rows:
+        fine = not failed
+        if fine:
+            in_lang = [r for r in passing if r[1] == lang]
+            group = [r for r in in_lang if r[2] == source]
+            for k, name in enumerate(names):
+                a, l, g = own(passing, k), own(in_lang, k), own(group, k)
+                most, least = (draw(len(group), g[e], draw(len(in_lang), l[e], a[e])) for e in (0, 1))
+                fine &= values[k] <= most + (a[2] if k else 0) and (k > 0 or values[k] >= least)
+        kept.append((i, fine))
+    return kept
+
+
 def unigram(pairs):
     tokens = {i: [*re.findall(WORD, lower(t)), None] for i, t in pairs}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}

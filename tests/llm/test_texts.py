@@ -232,6 +232,24 @@ def test_quality_limits_follow_language_and_source(spark):
     assert not got[900] and got[901] and sum(got.values()) >= 401
 
 
+def test_quality_verdicts(spark):
+    """Groups and languages of all sizes, null ones too, with symbols, repeated lines and long words here and there."""
+    rng, data = random.Random(21), []
+    for i in range(700):
+        lang, source = rng.choice(["en", "en", "en", "de", None, "xx" if i % 90 == 0 else "en"]), rng.choice(["a", "a", "a", "b", None, f"s{i % 40}"])
+        words = [rng.choice(["word", "longer", "a", "verylongwordindeed" if source == "b" else "mid"]) + str(rng.randrange(400)) for _ in range(rng.randint(30, 130))]
+        for _ in range(rng.choice([0, 0, 0, 2, 9, 40])):
+            words[rng.randrange(len(words))] += rng.choice("#*$%&|<>")
+        text = " ".join(words) if rng.random() < 0.6 else "\n".join(" ".join(words[k : k + 6]) for k in range(0, len(words), 6))
+        text += ("\n" + " ".join(words[:6])) * rng.choice([0, 0, 0, 1, 4])
+        data.append((i, text, lang, source))
+    data += [(900, None, "en", "a"), (901, "", None, None), (3, data[3][1], data[3][2], data[3][3])]
+    got = judge(spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")).select("rest.doc_id", "kept").collect()
+    want = brute.quality_verdicts(data)
+    assert Counter((r.doc_id, r.kept) for r in got) == Counter(want)
+    assert 20 < sum(k for _, k in want) < 650
+
+
 def test_sketch_buckets(spark):
     values = [r.b for r in spark.range(2000).select(bucket(F.col("id")).alias("b")).collect()]
     assert all(b <= i and 16 * (i - b) <= i for i, b in enumerate(values)) and values == sorted(values)
