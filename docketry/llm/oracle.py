@@ -105,6 +105,67 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_r
 FROM texts LEFT JOIN kept USING (doc_id)
 """
 
+OP4 = rf"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS body, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^ \t-\r]')) AS lines
+  FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM texts
+), trios AS (
+  SELECT doc_id, place, word, lead(word) OVER following AS second, lead(word, 2) OVER following AS third
+  FROM words WINDOW following AS (PARTITION BY doc_id ORDER BY place)
+), windows AS (
+  SELECT doc_id, place, count(*) OVER (PARTITION BY doc_id, word, second, third) AS times FROM trios WHERE third IS NOT NULL
+), repeats AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(place, place + 3)) AS k FROM windows WHERE times > 1) GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(body) - length(translate(body, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM texts t LEFT JOIN repeats USING (doc_id)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), measured AS (
+  SELECT doc_id, lang, source, base_failed, measure, v,
+    (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS bucket
+  FROM (
+    SELECT *, unnest(['word_length', 'symbols', 'dup_lines', 'repeat_words']) AS measure,
+      unnest([1000 * word_chars // greatest(n_words, 1), 1000 * n_symbols // greatest(n_words, 1),
+        1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1)]) AS v
+    FROM failed)
+), passing AS (
+  SELECT 'group' AS kind, lang, source, measure, bucket FROM measured WHERE NOT base_failed
+  UNION ALL SELECT 'lang', lang, NULL, measure, bucket FROM measured WHERE NOT base_failed
+  UNION ALL SELECT 'all', NULL, NULL, measure, bucket FROM measured WHERE NOT base_failed
+), sketch AS (
+  SELECT kind, lang, source, measure, bucket, count(*) AS n FROM passing GROUP BY kind, lang, source, measure, bucket
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY kind, lang, source, measure ORDER BY bucket) AS upto,
+    sum(n) OVER (PARTITION BY kind, lang, source, measure) AS rows_in
+  FROM sketch
+), ends AS (
+  SELECT kind, lang, source, measure, max(rows_in)::BIGINT AS n,
+    2.0::DOUBLE * min(bucket) FILTER (100 * upto >= 90 * rows_in) AS most,
+    0.5::DOUBLE * min(bucket) FILTER (100 * upto >= 10 * rows_in) AS least,
+    min(bucket) FILTER (100 * upto >= 99 * rows_in) AS tail
+  FROM summed GROUP BY kind, lang, source, measure
+), verdicts AS (
+  SELECT m.doc_id,
+    bool_and(m.v <= (g.n * g.most + 100 * ((l.n * l.most + 100 * a.most) / (l.n + 100))) / (g.n + 100)
+        + CASE WHEN m.measure = 'word_length' THEN 0 ELSE a.tail END
+      AND (m.measure <> 'word_length'
+        OR m.v >= (g.n * g.least + 100 * ((l.n * l.least + 100 * a.least) / (l.n + 100))) / (g.n + 100))) AS fine
+  FROM measured m
+  JOIN ends g ON g.kind = 'group' AND g.measure = m.measure AND g.lang IS NOT DISTINCT FROM m.lang AND g.source IS NOT DISTINCT FROM m.source
+  JOIN ends l ON l.kind = 'lang' AND l.measure = m.measure AND l.lang IS NOT DISTINCT FROM m.lang
+  JOIN ends a ON a.kind = 'all' AND a.measure = m.measure
+  WHERE NOT m.base_failed GROUP BY m.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, true) AS kept
+FROM failed LEFT JOIN verdicts USING (doc_id)
+"""
+
 OP7 = r"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
@@ -146,6 +207,7 @@ FROM texts t LEFT JOIN sizes z ON z.doc_id = t.doc_id LEFT JOIN smallest s ON s.
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": OP1,
     "op2_substring_dedup": OP2,
+    "op4_quality_rules": OP4,
     "op7_url_filter": OP7,
     "op9_minhash_near_dedup": OP9,
     "op12_exact_top_k": OP12,

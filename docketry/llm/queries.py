@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 import pyarrow as pa
@@ -23,6 +24,7 @@ from docketry.llm.squares import find_runs
 from docketry.llm.suffixes import remove_repeated_bytes
 from docketry.llm.urls import judge_urls
 from docketry.llm.ztrie import gather_turns, prefix_nodes
+from docketry.store import finished
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,8 +169,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
+def _leaving_its_result(query: Query) -> Query:
+    """The query, with its result written if it wrote tables on the way, which then go."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return finished(spark, query.__name__, lambda: query(spark, sf_dir))
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    q.__name__: q
+    q.__name__: _leaving_its_result(q)
     for q in (
         op1_embedding_near_dedup,
         op2_substring_dedup,
@@ -183,6 +195,6 @@ QUERIES: dict[str, Query] = {
         op11_periodic_runs,
         op12_exact_top_k,
         op13_conversation_trie,
-        pipeline,
     )
 }
+QUERIES["pipeline"] = pipeline

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from docketry import store
 from docketry.llm.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,7 +22,7 @@ def test_registered():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_equals_sql(spark, name):
+def test_query_equals_sql(spark, name, results_only):
     duck = duckdb.connect()
     for table in ("documents", "pages", "embeddings", "conversations"):
         duck.execute(f"create view {table} as from read_parquet('{SF_DIR}/{table}.parquet')")
@@ -33,6 +34,14 @@ def test_query_equals_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", ["op4_quality_rules", "op7_url_filter"])
-def test_native_plans_have_no_python(spark, name):
-    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().toString()
+def test_native_plans_have_no_python(spark, name, monkeypatch):
+    plans, write = [], store._write
+
+    def watched(df, *args):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(store, "_write", watched)
+    plans.append(QUERIES[name](spark, SF_DIR)._jdf.queryExecution().toString())
+    plan = "\n".join(plans)
     assert not [w for w in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop") if w in plan]
