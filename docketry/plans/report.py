@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -57,17 +57,23 @@ ANALYSES: dict[str, Callable[[ChargeTables], DataFrame]] = {
 
 
 class Report(Mapping[str, DataFrame]):
-    """All analyses by name, with the parameters of the study.
+    """All analyses by name, with the parameters of the study or one's own.
 
     Nothing runs until an analysis is looked up; then the roll-ups it needs are written, once
     for all analyses.
     """
 
-    def __init__(self, tables: ChargeTables):
+    def __init__(self, tables: ChargeTables, parameters: Mapping[str, Mapping[str, object] | Sequence[object]]):
+        if unknown := sorted(set(parameters) - set(ANALYSES)):
+            raise ValueError(f"no such analyses: {unknown}")
         self.tables = tables
+        self.parameters = parameters
 
     def __getitem__(self, name: str) -> DataFrame:
-        return ANALYSES[name](self.tables)
+        own = self.parameters.get(name, {})
+        if isinstance(own, Mapping):
+            return ANALYSES[name](self.tables, **own)
+        return ANALYSES[name](self.tables, *own)
 
     def __iter__(self) -> Iterator[str]:
         return iter(ANALYSES)
@@ -76,6 +82,10 @@ class Report(Mapping[str, DataFrame]):
         return len(ANALYSES)
 
 
-def report(tables: ChargeTables) -> Report:
-    """The report over one set of tables."""
-    return Report(tables)
+def report(tables: ChargeTables, **parameters: Mapping[str, object] | Sequence[object]) -> Report:
+    """The report over one set of tables.
+
+    Codes, patterns, list lengths and the like of single analyses are given by the analysis'
+    name, as keywords or in order: `report(tables, top3_misd={"k": 5}, text_match_count=["tres"])`.
+    """
+    return Report(tables, parameters)

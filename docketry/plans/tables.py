@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.constants import DISMISSED, DIVERSION
-from docketry.functions.exprs import distinct_count, if_else, ratio, strict_sum
+from docketry.functions.exprs import if_else, paste, ratio, strict_sum
 from docketry.operators.dictionary import code_table_keys, describe, merge_texts
 from docketry.operators.ordinal import ORIGIN, origin_offsets, sorted_ranges, with_row_numbers
 from docketry.operators.rollup import entity_rollup, first_per_group
@@ -34,6 +34,11 @@ class ChargeTables:
         """Every row as stacked, with its part tag."""
         return self.stored.drop("interim")
 
+    @property
+    def parts_of_interim(self) -> DataFrame:
+        """The interim rows as stacked."""
+        return self.stored.filter("interim").drop("interim")
+
     @cached_property
     def all_charges(self) -> DataFrame:
         """Every charge row, with ids and readable texts."""
@@ -116,13 +121,13 @@ class ChargeTables:
             self.charges,
             "case_id",
             "defendant_no",
-            "person_id",
             diverted=F.count_if(F.col("result_description") == DIVERSION),
             dismissed=strict_sum(dismissed),
             first_row=F.min("row_order"),
             case_level=F.min_by("case_level", "row_order"),
         )
-        return materialise(rollup, "defendants")
+        # The person's id is the case's and the defendant's number: no third text is shuffled.
+        return materialise(rollup.withColumn("person_id", paste("case_id", "defendant_no")), "defendants")
 
     @cached_property
     def persons(self) -> DataFrame:
@@ -147,9 +152,15 @@ class ChargeTables:
 
     @cached_property
     def persons_before_removal(self) -> DataFrame:
-        """One row: the number of persons before superseded rows were removed."""
-        count = self.all_charges.agg(distinct_count("person_id").alias("persons"))
-        return materialise(count, "person_count")
+        """One row: the number of persons before superseded rows were removed.
+
+        Those left and those who had no other rows than removed ones, who are all among the few
+        interim rows; the ids of all charges are not compared again.
+        """
+        interim = add_keys(self.parts_of_interim).select("person_id").distinct()
+        gone = interim.join(self.persons.select("person_id"), "person_id", "left_anti")
+        both = self.persons.agg(F.count(F.lit(1)).alias("n")).unionByName(gone.agg(F.count(F.lit(1)).alias("n")))
+        return materialise(both.agg(F.sum("n").alias("persons")), "person_count")
 
     @cached_property
     def tallies(self) -> DataFrame:

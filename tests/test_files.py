@@ -350,6 +350,14 @@ def test_report_on_records(tables):
     assert folded["Other"] == 2 and sum(folded.values()) == 12
 
 
+def test_report_takes_parameters(tables):
+    own = report(tables, top3_misd={"k": 1}, text_match_count=["no such text"], low_level_code_string={"sep": "; "})
+    assert own["top3_misd"].count() == 1 and report(tables)["top3_misd"].count() > 1
+    assert own["text_match_count"].first().n == 0 and "; " in own["low_level_code_string"].first()[0]
+    with pytest.raises(ValueError, match="no_such"):
+        report(tables, no_such={})
+
+
 @pytest.fixture(scope="module")
 def empty(tables):
     return ChargeTables(tables.stored.filter("false"), tables.code_table)
