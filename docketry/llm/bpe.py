@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from docketry.llm.textops import chunks
 
 CHUNK_BYTES = 8 << 20
+# Longer pieces go through the rank queue, shorter ones through a plain loop that gives the same ids.
 LONG_PIECE = 64
 NONE = -1
 
@@ -315,7 +316,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFra
     is that of a piece of a batch, or of the longest text.
 
     A null or empty text has no ids. Rows are independent: repeated rows, null ids and extra
-    columns pass through. No shuffle.
+    columns of any name pass through inside `rest`. An empty table gives no rows. No shuffle.
     """
     with open(vocabulary_path, "rb") as file:
         lines = docs.sparkSession.sparkContext.broadcast(file.read())

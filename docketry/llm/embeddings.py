@@ -253,7 +253,9 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, codewords: int = 32) -
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those without
     label, link with nothing. Rows that share a vec_id do not link with each other and get the
-    sum of their links each; rows that are alike in all are one vector. A null vec_id links with nothing and is kept.
+    sum of their links each; rows that are alike in all are one vector. A null vec_id links with
+    nothing and is kept. An empty table gives no rows; other columns are left alone, whatever their
+    names.
     """
     if not 0 < least < 1:
         raise ValueError("least must be between 0 and 1")

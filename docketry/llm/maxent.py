@@ -294,7 +294,10 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
     A null or empty text is the end alone. A null doc_id is learned from. Repeated rows get a row
     each; rows with equal doc_ids are told apart by their texts. Without training texts every
-    token is unknown and the model is uniform.
+    token is unknown and the model is uniform. A text of any length is scored in steps of
+    `TOKENS_PER_STEP` tokens. An empty table gives no rows; columns beside doc_id and text are left
+    alone, whatever their names. `broadcast_tokens` changes where counts are looked up, not what
+    is found.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")

@@ -14,6 +14,7 @@ from docketry.llm.graph import components
 from docketry.llm.textops import Chunk, chunks, mix, span_hashes, word_hashes
 from docketry.store import materialise
 
+# Sizes of steps; the links found are the same for any of them.
 MEMBERS_PER_TASK_GROUP = 256
 STAR_TURNS = 3
 SHINGLES_PER_BATCH = 100_000
@@ -161,7 +162,8 @@ def near_duplicates(
     A null or empty text has no shingles and is linked with nothing; a text of fewer than
     `words` words is one shingle. Rows that share a doc_id are one document, compared by the text
     whose hash is smallest; each row gets its own n_shingles. A null doc_id is linked with
-    nothing, has no component and is kept.
+    nothing, has no component and is kept. A text of any length is one set of hashes. An empty
+    table gives no rows; columns beside doc_id and text are left alone, whatever their names.
     """
     docs = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
