@@ -37,6 +37,7 @@ _SHORT_TEXTS = """(values
    concat('Use of a controlled substance ', chr(10), ' HS 11550(a)')),
   ('dui alcohol -- VC_23152(A)_M', concat('DUI ', chr(10), ' VC 23152(a)')))"""
 
+# Fixed values in it: plea codes and texts, result texts, part names, texts of two codes.
 _BASE = f"""
 with named(k, code, section, level) as (select * from {_NAMED}),
 parts as (

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.constants import HAND_ENTERED_OFFENCES, PLEA_TEXTS
+from docketry.constants import CONVICTED, DISMISSED, DIVERSION, HAND_ENTERED_OFFENCES, HELD_TO_ANSWER, PLEA_TEXTS
 from docketry.plans.build import CodeLists, build_charges, build_from_parts
 from docketry.plans.tables import ChargeTables
 from docketry.sources.files import read_parts
@@ -15,7 +15,7 @@ from docketry.store import location, materialise
 # The known pleas, and one that has no text; the ninth place is a missing plea.
 PLEAS = (*PLEA_TEXTS, "XX")
 
-# Codes that the fixed values of the model name, with section and level. Parts whose key leaves
+# Codes that the model names, with section and level. Parts whose key leaves
 # their place (modulo NAMED_EVERY) have them; those the code table must not know come first.
 NAMED_CODES = (
     *[(*key.split("_")[:2], key.split("_")[2]) for key in HAND_ENTERED_OFFENCES],
@@ -115,10 +115,10 @@ def charge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(
             F.array(*[F.lit(p) for p in PLEAS]), ((F.col("l_linenumber") + F.col("l_partkey")) % 9).cast("int")
         ).alias("plea"),
-        F.when(flag == "R", "Dismissed")
-        .when((flag == "A") & (status == "F"), "Convicted")
-        .when(flag == "A", "Held To Answer in Superior Court")
-        .when(quantity <= 2, "Diversion")
+        F.when(flag == "R", DISMISSED)
+        .when((flag == "A") & (status == "F"), CONVICTED)
+        .when(flag == "A", HELD_TO_ANSWER)
+        .when(quantity <= 2, DIVERSION)
         .when(quantity > 10, "Acquitted")
         .alias("result_description"),
         F.when(F.col("l_linenumber") == 7, "CITY").alias("charge_city"),
@@ -137,6 +137,7 @@ def code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     code, section, level = (F.coalesce(_named(i), own) for i, own in enumerate(_own().values()))
     known = F.col("p_partkey") % NAMED_EVERY >= len(HAND_ENTERED_OFFENCES)
+    # The texts of two codes of the diversion figure.
     text = F.when(_named(1) == "11550(A)", "Use/Under Influence of Controlled Substance")
     text = text.when(_named(1) == "23152(A)", "DUI Alcohol").otherwise(F.upper("p_name"))
     return (
