@@ -20,7 +20,8 @@ STEP = 49
 ROWS_PER_BATCH = 100_000
 KEY = ["id", "text_hash"]
 NO_ID = -(1 << 63)
-BUCKET_ROWS = 1000
+# Pieces that a task sorts at once, some 10 MB of edges; what is found is the same for any number.
+BUCKET_ROWS = 50_000
 RESULT = {"kept": T.BinaryType(), "kept_text": T.StringType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
 
 
