@@ -16,6 +16,8 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_SETTING, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 # Per application, the tables of each open block, innermost last; the first block never ends.
 _blocks: dict[str, list[list[str]]] = {}
 _tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -60,13 +62,31 @@ def _write(df: DataFrame, name: str, partition_by: Sequence[str], block: list[st
     spark = df.sparkSession
     database, table = _database(spark), f"{name}_{uuid4().hex}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{own_folder(spark)}'")
-    df.write.partitionBy(*partition_by).format("parquet").saveAsTable(f"{database}.{table}")
+    with _small_arrow_batches(spark):
+        df.write.partitionBy(*partition_by).format("parquet").saveAsTable(f"{database}.{table}")
     written = spark.read.schema(df.schema).parquet(f"{own_folder(spark)}/{table}").select(*df.columns)
     block.append(f"{database}.{table}")
     _tables[written] = f"{database}.{table}"
     return written
 
 
+@contextmanager
+def _small_arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Python gets at most `ARROW_ROWS` rows at a time, since rows may be long texts.
+
+    A batch is held by the executor and by its Python worker, once on each way.
+    """
+    before = spark.conf.get(ARROW_SETTING)
+    if 0 < int(before) <= ARROW_ROWS:
+        yield
+        return
+    spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_SETTING, before)
+
+
 def location(df: DataFrame) -> str:
     """The folder of a frame that `materialise` gave."""
     return f"{own_folder(df.sparkSession)}/{_tables[df].split('.')[1]}"

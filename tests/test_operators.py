@@ -308,6 +308,18 @@ def test_tables_are_freed_one_by_one(spark, frame, folder):
     store.clean_up(spark)
 
 
+def test_python_gets_small_batches_while_a_table_is_written(spark, folder):
+    def sizes(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"n": [len(batch)]})
+
+    before = spark.conf.get(store.ARROW_SETTING)
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")
+    assert max(r.n for r in store.materialise(rows, "sizes").collect()) <= store.ARROW_ROWS < 5000
+    assert spark.conf.get(store.ARROW_SETTING) == before
+    store.clean_up(spark)
+
+
 def test_a_result_without_tables_stays_a_plan(spark, frame, folder):
     assert store.finished(spark, "result", lambda: frame) is frame
     assert not list(folder.iterdir())
