@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.quality import bucket
 from docketry.llm.textops import chunks, mix, word_hashes
 from docketry.store import materialise
 
@@ -196,8 +198,28 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(texts: DataFrame, counts: DataFrame, shape: Shape) -> tuple[Model, int, int]:
-    """The model, the number of training tokens and of different ones.
+def common_tokens(counts: DataFrame, most: int, top: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest tokens, `most` of them or fewer, and those of `top`, with their counts, ordered by token.
+
+    Counts are tallied by their leading binary digits first; then exactly the tokens from a bound on
+    go to the driver, not the best of every task.
+    """
+    tally = counts.groupBy(bucket(F.col("n")).alias("least")).agg(F.count(F.lit(1)).alias("tokens"))
+    bound, held = None, 0
+    for row in sorted(tally.collect(), key=lambda r: -r["least"]):
+        held += row["tokens"]
+        if held > most:
+            break
+        bound = row["least"]
+    chosen = counts.filter(F.lit(False) if bound is None else F.col("n") >= bound).toPandas()
+    chosen = pd.concat([chosen, top]).drop_duplicates("token")
+    tokens, c = chosen["token"].to_numpy(np.int64).view(np.uint64), chosen["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], c[order]
+
+
+def train(texts: DataFrame, counts: DataFrame, shape: Shape) -> tuple[Model, int, int, pd.DataFrame]:
+    """The model, the number of training tokens and of different ones, and the model's words with their counts.
 
     Every update is one job: tasks add up the gradient of their texts, equal blocks of it meet
     and are added up, and the driver takes the sums, whose size is that of the model.
@@ -221,7 +243,7 @@ def train(texts: DataFrame, counts: DataFrame, shape: Shape) -> tuple[Model, int
             seen[table][place * height : (place + 1) * height] = part[:, -1]
         model.update(total, seen)
         shared.unpersist()
-    return model, int(whole["n"]), int(whole["v"])
+    return model, int(whole["n"]), int(whole["v"]), top
 
 
 def _score(shared):
@@ -305,12 +327,10 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     learned = rows.filter(~held_out()).select("text", part.alias("part"))
     counts = learned.select("text").mapInArrow(_count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "token_counts")
-    model, n, v = train(learned, counts, shape)
-    common = counts.orderBy(F.desc("n"), "token").limit(shape.broadcast_tokens).toPandas()
-    tokens, c = common["token"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.int64)
-    outside = n + v + 1 - int((c[: shape.words] + 1).sum())
-    order = np.argsort(tokens)
-    table = (tokens[order], np.log10((c[order] + 1) / (n + v + 1)), np.log10((c[order] + 1) / outside))
+    model, n, v, top = train(learned, counts, shape)
+    outside = n + v + 1 - int((top["n"] + 1).sum())
+    tokens, c = common_tokens(counts, shape.broadcast_tokens, top)
+    table = (tokens, np.log10((c + 1) / (n + v + 1)), np.log10((c + 1) / outside))
     scored = rows.mapInArrow(
         _score(spark.sparkContext.broadcast((model, *table))),
         "doc_id bigint, text_hash bigint, token bigint, rare boolean, times bigint, n_tokens bigint, n_known bigint, base double, score double",

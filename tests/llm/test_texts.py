@@ -373,6 +373,16 @@ def test_base_scores(docs, odd, nothing):
     assert score_texts(odd[0], shape).count() == len(odd[1]) and score_texts(nothing, shape).count() == 0
 
 
+def test_scores_do_not_depend_on_where_counts_are_looked_up(docs):
+    """None, few, some and all tokens sent to the tasks."""
+    found = []
+    for sent in (0, 30, 1100, 200_000):
+        rows = score_texts(docs, Shape(rounds=2, broadcast_tokens=sent)).collect()
+        found.append({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in rows})
+    assert found[0] == found[1] == found[2] == found[3]
+    assert {r[0] for r in found[0].values()} == {v[2] for v in brute.unigram(PAIRS).values()}
+
+
 def test_model_beats_the_base_on_texts_not_learned_from(spark):
     data = [(i, " ".join(f"w{(i * 7 + k * (1 + i % 2)) % 50}" for k in range(200))) for i in range(120)]
     scored = score_texts(spark.createDataFrame(data, "doc_id bigint, text string")).filter("held_out")
