@@ -29,9 +29,10 @@ class Shape:
     buckets: int = 4096  # rows of each feature table
     classes: int = 32
     slots: int = 32  # words of a class; the last slot of the last class stands for all other words
-    rounds: int = 6  # gradient updates, each over its own part of the training texts
+    rounds: int = 6  # updates, each over its own part of the training texts
     rate: float = 0.4
     prior: float = 8.0
+    floor: float = 0.05  # part of every probability that is the base's
     broadcast_tokens: int = 200_000  # tokens whose counts are sent to every task; the others are joined
 
     @property
@@ -71,14 +72,17 @@ class Model:
     class the first two with the class. Each is hashed to a row of its own table.
     """
 
-    def __init__(self, shape: Shape, words: np.ndarray, counts: np.ndarray, other: int):
-        """`words` by falling count; `other` is the number of all remaining training tokens."""
+    def __init__(self, shape: Shape, words: np.ndarray, counts: np.ndarray, outside: int):
+        """`words` by falling count; `outside` is the base's mass of all other tokens, unknown ones too.
+
+        Before any update the model is the base: slots have its masses, unused ones next to none.
+        """
         self.shape = shape
         self.sorted = np.sort(words)
         self.slot_of = np.argsort(words)  # the n-th word of the vocabulary has slot n
-        mass = np.full(shape.classes * shape.slots, 0.1)
-        mass[: len(words)] += counts
-        mass[-1] += other
+        mass = np.full(shape.classes * shape.slots, 1e-6)
+        mass[: len(words)] = counts + 1
+        mass[-1] = outside
         mass = mass.reshape(shape.classes, shape.slots)
         self.share = mass.sum(1) / mass.sum()
         self.slot_share = mass / mass.sum(1, keepdims=True)
@@ -113,28 +117,31 @@ class Model:
         return rows, cls, slot % self.shape.slots, softmax(logits), softmax(inner)
 
     def log10(self, before: np.ndarray, skip: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The slots' log probabilities, with `floor` of the base's, so none is less than that part of it."""
         _, cls, inside, p, q = self.forward(before, skip, slot)
         at = np.arange(len(slot))
-        return np.log10(p[at, cls].astype(np.float64)) + np.log10(q[at, inside].astype(np.float64))
+        own = p[at, cls].astype(np.float64) * q[at, inside].astype(np.float64)
+        return np.log10((1 - self.shape.floor) * own + self.shape.floor * self.share[cls] * self.slot_share[cls, inside])
 
-    def gradient(self, before: np.ndarray, skip: np.ndarray, slot: np.ndarray, total: list[np.ndarray], seen: list[np.ndarray]) -> None:
-        """Add the gradient of the tokens' log loss to `total`, and the uses of each row to `seen`."""
+    def tally(self, before: np.ndarray, skip: np.ndarray, slot: np.ndarray, expected: list[np.ndarray], observed: list[np.ndarray]) -> None:
+        """Add up how often each weight of the tables is expected to hold and how often it does."""
         rows, cls, inside, p, q = self.forward(before, skip, slot)
-        at = np.arange(len(slot))
-        p[at, cls] -= 1
-        q[at, inside] -= 1
-        for table, row, error in zip(range(5), rows, (p, p, p, q, q)):
+        for table, row, guess, true in zip(range(5), rows, (p, p, p, q, q), (cls, cls, cls, inside, inside)):
             order = np.argsort(row, kind="stable")
             ordered = row[order]
             heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            total[table][ordered[heads]] += np.add.reduceat(error[order], heads, axis=0)
-            seen[table] += np.bincount(row, minlength=len(seen[table]))
+            expected[table][ordered[heads]] += np.add.reduceat(guess[order], heads, axis=0)
+            np.add.at(observed[table], (row, true), 1)
+
+    def update(self, expected: list[np.ndarray], observed: list[np.ndarray]) -> None:
+        """One step of iterative scaling: each weight moves by the log ratio of its two counts, both with the prior.
 
-    def update(self, total: list[np.ndarray], seen: list[np.ndarray]) -> None:
-        """One step against the gradient, shorter for rows and columns that are used less."""
-        expected = [self.share] * 3 + [self.slot_share.mean(0)] * 2
-        for table, g, n, share in zip(self.tables, total, seen, expected):
-            table -= (self.shape.rate * g / (n[:, None] * share[None, :] + self.shape.prior)).astype(np.float32)
+        Three tables choose a class and two a word, so a step is at most a third or a half of the
+        ratio. Such steps never overshoot, however often a context is used or however rare a word is.
+        """
+        for table, e, o, most in zip(self.tables, expected, observed, (3, 3, 3, 2, 2)):
+            step = min(self.shape.rate, 1 / most)
+            table += (step * np.log((o + self.shape.prior) / (e + self.shape.prior))).astype(np.float32)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -162,20 +169,20 @@ def _steps(sequences: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list[i
         yield rows, lengths, *(np.concatenate(x) for x in zip(*parts))
 
 
-def _gradients(shared):
+def _tallies(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        total = [np.zeros(t.shape, np.float64) for t in model.tables]
-        seen = [np.zeros(len(t)) for t in model.tables]
+        expected = [np.zeros(t.shape, np.float64) for t in model.tables]
+        observed = [np.zeros(t.shape, np.float64) for t in model.tables]
         any_token = False
         for batch in batches:
             for _, _, tokens, before, skip in _steps(token_sequences(batch.column("text"))):
-                model.gradient(before, skip, model.slots(tokens), total, seen)
+                model.tally(before, skip, model.slots(tokens), expected, observed)
                 any_token = True
         if any_token:
             blocks, bodies = [], []
-            for k, (g, n) in enumerate(zip(total, seen)):
-                for block, part in enumerate(np.split(np.column_stack([g, n]).astype(np.float32), BLOCKS)):
+            for k, (e, o) in enumerate(zip(expected, observed)):
+                for block, part in enumerate(np.split(np.column_stack([e, o]).astype(np.float32), BLOCKS)):
                     blocks.append(k * BLOCKS + block)
                     bodies.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(bodies, pa.binary())], ["block", "body"])
@@ -218,30 +225,35 @@ def common_tokens(counts: DataFrame, most: int, top: pd.DataFrame) -> tuple[np.n
     return tokens[order], c[order]
 
 
+def outside_mass(n: int, v: int, top: pd.DataFrame) -> int:
+    """The base's mass, counts plus one, of all tokens beyond the model's words, the unknown one among them."""
+    return n + v + 1 - int((top["n"] + 1).sum())
+
+
 def train(texts: DataFrame, counts: DataFrame, shape: Shape) -> tuple[Model, int, int, pd.DataFrame]:
     """The model, the number of training tokens and of different ones, and the model's words with their counts.
 
-    Every update is one job: tasks add up the gradient of their texts, equal blocks of it meet
-    and are added up, and the driver takes the sums, whose size is that of the model.
+    Every update is one job: tasks add up the two counts of every weight over their texts, equal
+    blocks of them meet and are added up, and the driver takes the sums, twice the model's size.
     """
     spark = texts.sparkSession
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.orderBy(F.desc("n"), "token").limit(shape.words).toPandas()
-    model = Model(shape, top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(whole["n"] - top["n"].sum()))
+    outside = outside_mass(int(whole["n"]), int(whole["v"]), top)
+    model = Model(shape, top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), outside)
     for turn in range(shape.rounds):
         shared = spark.sparkContext.broadcast(model)
         own = texts.filter(F.col("part") == turn).select("text")
-        parts = own.mapInArrow(_gradients(shared), "block int, body binary")
+        parts = own.mapInArrow(_tallies(shared), "block int, body binary")
         sums = parts.repartition(BLOCKS, "block").mapInArrow(_add_up, "block int, body binary").toArrow()
-        total = [np.zeros(t.shape) for t in model.tables]
-        seen = [np.zeros(len(t)) for t in model.tables]
+        expected = [np.zeros(t.shape) for t in model.tables]
+        observed = [np.zeros(t.shape) for t in model.tables]
         height = shape.buckets // BLOCKS
         for block, body in zip(sums.column("block").to_pylist(), sums.column("body").to_pylist()):
             table, place = divmod(block, BLOCKS)
             part = np.frombuffer(body, np.float64).reshape(height, -1)
-            total[table][place * height : (place + 1) * height] = part[:, :-1]
-            seen[table][place * height : (place + 1) * height] = part[:, -1]
-        model.update(total, seen)
+            expected[table][place * height : (place + 1) * height], observed[table][place * height : (place + 1) * height] = np.hsplit(part, 2)
+        model.update(expected, observed)
         shared.unpersist()
     return model, int(whole["n"]), int(whole["v"]), top
 
@@ -307,16 +319,16 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     tokens are added up per task before their shuffle. base_score is the smoothed unigram log10
     probability. score is that of a maximum-entropy model: P(class | context) * P(word | class,
     context), features of the context hashed into tables of fixed size, trained by `rounds`
-    gradient updates that together see every training text once. Words outside the model's
-    vocabulary share one slot, and in it have their smoothed unigram probability, so the model
-    gives every sequence of tokens a proper probability.
+    updates that together see every training text once. Words outside the model's vocabulary share
+    one slot, and in it have their smoothed unigram probability. A `floor` of the base is mixed in,
+    so the model gives every sequence of tokens a proper probability, above zero for any text.
 
     The counts of the `broadcast_tokens` commonest tokens and the model are sent to every task,
     both of fixed size. Tokens beyond are joined to their counts, once per text and token.
 
     A null or empty text is the end alone. A null doc_id is learned from. Repeated rows get a row
     each; rows with equal doc_ids are told apart by their texts. Without training texts every
-    token is unknown and the model is uniform. A text of any length is scored in steps of
+    token is unknown and the model is the base. A text of any length is scored in steps of
     `TOKENS_PER_STEP` tokens. An empty table gives no rows; columns beside doc_id and text are left
     alone, whatever their names. `broadcast_tokens` changes where counts are looked up, not what
     is found.
@@ -328,7 +340,7 @@ def score_texts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     counts = learned.select("text").mapInArrow(_count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "token_counts")
     model, n, v, top = train(learned, counts, shape)
-    outside = n + v + 1 - int((top["n"] + 1).sum())
+    outside = outside_mass(n, v, top)
     tokens, c = common_tokens(counts, shape.broadcast_tokens, top)
     table = (tokens, np.log10((c + 1) / (n + v + 1)), np.log10((c + 1) / outside))
     scored = rows.mapInArrow(

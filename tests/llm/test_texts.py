@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 from itertools import islice
@@ -390,6 +391,21 @@ def test_model_beats_the_base_on_texts_not_learned_from(spark):
     assert score > 0.9 * base
 
 
+def test_scores_stay_near_the_base_where_a_rare_word_follows_a_common_context(spark):
+    """A word that nearly always follows the same one, among many others: a step must not throw its weight out of bounds."""
+    common = " ".join(f"v{k % 64}" for k in range(4000))
+    data = [(i, f"{common} left right") for i in range(250)] + [(i, f"left v{i % 7}") for i in range(250, 400)]
+    data = [(i, text) for i, text in data if i < 250 or zlib.crc32(str(i).encode()) % 7 == 2]
+    scored = score_texts(spark.createDataFrame(data, "doc_id bigint, text string"), Shape(prior=0.01))
+    short = scored.filter("doc_id >= 250 and held_out").collect()
+    assert short and min(r.score - r.base_score for r in short) > -4
+
+
+def test_model_without_updates_is_the_base(docs):
+    for r in score_texts(docs, Shape(rounds=1, rate=0.0)).collect():
+        assert r.score == pytest.approx(r.base_score, rel=1e-4)
+
+
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
 
