@@ -88,8 +88,8 @@ def build_charges(
     the data itself; a charge whose code it lacks ends the build.
 
     The charges are written once, laid out by part and by interim status. Removing superseded
-    rows then only rewrites the few interim rows; the others are never moved for it. Before
-    that they are rebalanced by size, not by key.
+    rows then only rewrites the few interim rows; the others are never moved for it. Each task
+    writes the rows it has where they are: nothing is shuffled or sorted for the layout.
     """
     stacked_codes = (stacked if codes is None else codes).select("code", "section", "charge_level")
     distinct_codes = add_code_keys(stacked_codes).select("code_section", "code_section_m_f").distinct()
@@ -107,7 +107,7 @@ def build_charges(
         .select(*stacked.columns, *TAGS, "interim")
     )
     layout = ("data_part", "interim")
-    stored = materialise(tagged.hint("rebalance"), "charges", layout)
+    stored = materialise(tagged, "charges", layout)
     free(distinct_codes, tagged_codes)
 
     return ChargeTables(stored, lists.code_table, keep_one_if_all_superseded, placed)
