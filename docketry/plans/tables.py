@@ -51,12 +51,12 @@ class ChargeTables:
         Only the interim rows are looked at one by one and rewritten; the others are read as
         they are stored.
         """
-        return self._without_superseded(self._surviving(self.keep_one_if_all_superseded))
+        return add_keys(self._kept)
 
     @cached_property
     def charges_keep_one(self) -> DataFrame:
         """The charges if one that has interim rows only keeps the first of them."""
-        return self._without_superseded(self._surviving(True))
+        return add_keys(self._without_superseded(self._surviving(True)))
 
     @cached_property
     def superseded(self) -> DataFrame:
@@ -71,9 +71,13 @@ class ChargeTables:
         rows = surviving_interim_rows(self._identified.filter("interim"), self.superseded, "charge_id", keep_one)
         return materialise(rows.select(*self.stored.columns), "surviving")
 
+    @cached_property
+    def _kept(self) -> DataFrame:
+        """The rows without superseded ones, as stacked."""
+        return self._without_superseded(self._surviving(self.keep_one_if_all_superseded))
+
     def _without_superseded(self, surviving: DataFrame) -> DataFrame:
-        rows = self.stored.filter(~F.col("interim")).unionByName(surviving)
-        return add_keys(rows.drop("interim"))
+        return self.stored.filter(~F.col("interim")).unionByName(surviving).drop("interim")
 
     def with_row_numbers(self, df: DataFrame) -> DataFrame:
         """Add row_number and unique_id, the place of a row among all charges in `row_order`.
@@ -170,7 +174,8 @@ class ChargeTables:
 
     def fact(self) -> DataFrame:
         """The cleaned charges with all columns of the fact table; an absent column is an error."""
-        described = self.describe(self.charges)
-        if missing := [c for c in CHARGE_FACT_COLUMNS if c not in described.columns and c != "unique_id"]:
+        there = {*self.charges.columns, "offense_description", "unique_id"}
+        if missing := [c for c in CHARGE_FACT_COLUMNS if c not in there]:
             raise ValueError(f"the charges lack columns of the fact table: {missing}")
-        return self.with_row_numbers(described).select(*CHARGE_FACT_COLUMNS)
+        # Rows are numbered as they are stored; ids and texts are added after that shuffle.
+        return self.describe(add_keys(self.with_row_numbers(self._kept))).select(*CHARGE_FACT_COLUMNS)

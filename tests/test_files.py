@@ -293,6 +293,29 @@ def test_superseded_rows(fact, tables, parts, lists):
     assert {r.unique_id for r in kept.collect()} == set(fact) | {"000012"}
 
 
+def test_charges_are_not_moved_for_their_layout(parts, lists, monkeypatch):
+    written = {}
+    seen = lambda df, name, *layout: (written.update({name: df}), materialise(df, name, *layout))[1]
+    monkeypatch.setattr("docketry.plans.build.materialise", seen)
+    build_from_parts(parts, lists)
+    assert "Rebalance" not in written["charges"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_persons_are_rolled_up_from_the_charges(parts, lists):
+    again = build_from_parts(parts, lists)
+    found = {r.person_id: r for r in again.persons.collect()}
+    assert "defendants" not in vars(again)
+    sums = again.defendants.groupBy("person_id").agg(F.sum("num_charges").alias("n"), F.sum("diverted").alias("diverted"))
+    assert {k: (r.num_charges, r.diverted) for k, r in found.items()} == {r.person_id: (r.n, r.diverted) for r in sums.collect()}
+
+
+def test_rows_are_numbered_before_ids_and_texts_are_added(tables, monkeypatch):
+    columns, number = [], ChargeTables.with_row_numbers
+    monkeypatch.setattr(ChargeTables, "with_row_numbers", lambda t, df: columns.extend(df.columns) or number(t, df))
+    assert tables.fact().columns == [*CHARGE_FACT_COLUMNS]
+    assert "result_description" in columns and not {"offense_description", "charge_id", "key"} & {*columns}
+
+
 def test_codes_may_come_from_elsewhere(parts, lists, fact, make):
     stacked = stack_parts(parts)
     codes = stacked.select("code", "section", "charge_level").unionByName(
