@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.constants import DISMISSED, DIVERSION
@@ -118,32 +118,36 @@ class ChargeTables:
     def defendants(self) -> DataFrame:
         """One row per defendant of a case: counts, and the level and place of the first row.
 
-        The only roll-up that reads the charges; persons and cases are rolled up from it.
+        Cases are rolled up from it.
         """
-        dismissed = if_else(F.col("result_description") == DISMISSED, F.lit(1), F.lit(0))
         rollup = entity_rollup(
             self.charges,
             "case_id",
             "defendant_no",
-            diverted=F.count_if(F.col("result_description") == DIVERSION),
-            dismissed=strict_sum(dismissed),
+            **self._outcomes(),
             first_row=F.min("row_order"),
             case_level=F.min_by("case_level", "row_order"),
         )
         # The person's id is the case's and the defendant's number: no third text is shuffled.
         return materialise(rollup.withColumn("person_id", paste("case_id", "defendant_no")), "defendants")
 
+    @staticmethod
+    def _outcomes() -> dict[str, Column]:
+        """The number of diverted charges and, unless one has no result, of dismissed ones."""
+        dismissed = if_else(F.col("result_description") == DISMISSED, F.lit(1), F.lit(0))
+        return {
+            "diverted": F.count_if(F.col("result_description") == DIVERSION),
+            "dismissed": strict_sum(dismissed),
+        }
+
     @cached_property
     def persons(self) -> DataFrame:
         """One row per person: charges, diverted and dismissed ones, and the dismissed share.
 
-        A person with a charge without result has no dismissed share.
+        Rolled up from the charges by one key with counts only, so its map-side part is hashed and
+        never sorted. A person with a charge without result has no dismissed share.
         """
-        persons = self.defendants.groupBy("person_id").agg(
-            F.sum("num_charges").alias("num_charges"),
-            F.sum("diverted").alias("diverted"),
-            strict_sum("dismissed").alias("dismissed"),
-        )
+        persons = entity_rollup(self.charges, "person_id", **self._outcomes())
         share = ratio(F.col("dismissed"), F.col("num_charges"))
         return materialise(persons.withColumn("pct_dismissed", share), "persons")
 
