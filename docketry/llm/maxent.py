@@ -17,6 +17,8 @@ from docketry.store import materialise
 
 KEY = ["doc_id", "text_hash"]
 TOKENS_PER_STEP = 20_000
+# exp of a float32 this far from 0 neither overflows, summed over a thousand columns, nor vanishes.
+SAFE = 80
 # The end of a text is a token of its own; so is what stands before its beginning.
 END = np.uint64(0xE4D0F7E47E4D0F7E)
 BEGIN = np.uint64(0xBE610BE610BE610B)
@@ -112,8 +114,12 @@ class Model:
         """Features, and the probabilities of all classes and of all words of the true class."""
         cls = slot // self.shape.slots
         rows = self.features(before, skip, cls)
-        logits = np.log(self.share).astype(np.float32) + sum(t[r] for t, r in zip(self.tables[:3], rows[:3]))
-        inner = np.log(self.slot_share).astype(np.float32)[cls] + sum(t[r] for t, r in zip(self.tables[3:], rows[3:]))
+        logits, inner = self.tables[0][rows[0]], self.tables[3][rows[3]]
+        for k in (1, 2):
+            logits += self.tables[k][rows[k]]
+        inner += self.tables[4][rows[4]]
+        logits += np.log(self.share).astype(np.float32)
+        inner += np.log(self.slot_share).astype(np.float32)[cls]
         return rows, cls, slot % self.shape.slots, softmax(logits), softmax(inner)
 
     def log10(self, before: np.ndarray, skip: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -126,12 +132,12 @@ class Model:
     def tally(self, before: np.ndarray, skip: np.ndarray, slot: np.ndarray, expected: list[np.ndarray], observed: list[np.ndarray]) -> None:
         """Add up how often each weight of the tables is expected to hold and how often it does."""
         rows, cls, inside, p, q = self.forward(before, skip, slot)
-        for table, row, guess, true in zip(range(5), rows, (p, p, p, q, q), (cls, cls, cls, inside, inside)):
-            order = np.argsort(row, kind="stable")
-            ordered = row[order]
-            heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            expected[table][ordered[heads]] += np.add.reduceat(guess[order], heads, axis=0)
-            np.add.at(observed[table], (row, true), 1)
+        for guess, true, tables in ((p.astype(np.float64).ravel(), cls, range(3)), (q.astype(np.float64).ravel(), inside, range(3, 5))):
+            for table in tables:
+                width = expected[table].shape[1]
+                first = rows[table] * width
+                np.add.at(expected[table].reshape(-1), (first[:, None] + np.arange(width)).ravel(), guess)
+                np.add.at(observed[table].reshape(-1), first + true, 1.0)
 
     def update(self, expected: list[np.ndarray], observed: list[np.ndarray]) -> None:
         """One step of iterative scaling: each weight moves by the log ratio of its two counts, both with the prior.
@@ -145,9 +151,11 @@ class Model:
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+    """The shares of each row, in place; rows are shifted to their maximum only where exp or their sum could leave its range."""
+    if logits.min(initial=0) < -SAFE or logits.max(initial=0) > SAFE:
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits /= np.einsum("ij->i", logits)[:, None]
     return logits
 
 
@@ -262,15 +270,17 @@ def _score(shared):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, log_known, log_inside = shared.value
         last = model.shape.classes * model.shape.slots - 1
+        slot_known = model.slots(known)  # the model's words are all known
         for batch in batches:
             n_tokens = np.zeros(len(batch), np.int64)
             n_known, base, score = n_tokens.copy(), np.zeros(len(batch)), np.zeros(len(batch))
             rare_rows, rare_tokens = [], []
             for rows, lengths, tokens, before, skip in _steps(token_sequences(batch.column("text"))):
                 row = np.repeat(rows, lengths)
-                slot = model.slots(tokens)
                 at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
                 hit = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
+                slot = np.full(len(tokens), last)
+                slot[hit] = slot_known[at[hit]]
                 n_tokens += np.bincount(row, minlength=len(batch))
                 n_known += np.bincount(row[hit], minlength=len(batch))
                 base += np.bincount(row[hit], log_known[at[hit]], len(batch))

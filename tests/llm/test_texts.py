@@ -10,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 from itertools import islice
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from docketry.llm import minhash, phrases, sieve, suffixes
 from docketry.llm.bpe import RankBitmap, Vocabulary, encode_texts
 from docketry.llm.graph import components
 from docketry.llm.licenses import PHRASES, TEMPLATES, scan_licenses
-from docketry.llm.maxent import Shape, score_texts
+from docketry.llm.maxent import Model, Shape, score_texts, softmax
 from docketry.llm.minhash import keep_one_of_each, near_duplicates
 from docketry.llm.mixing import mix, pfair, whole_weights
 from docketry.llm.phrases import remove_repeated_passages
@@ -406,6 +407,36 @@ def test_model_without_updates_is_the_base(docs):
         assert r.score == pytest.approx(r.base_score, rel=1e-4)
 
 
+def test_tallies_of_an_update_are_added_without_sorting_the_tokens(monkeypatch):
+    shape, rng = Shape(buckets=16, classes=4, slots=8), np.random.default_rng(1)
+    words = rng.integers(1, 1 << 60, shape.words).astype(np.uint64)
+    model = Model(shape, words, np.arange(shape.words, 0, -1), 50)
+    for table in model.tables:
+        table += rng.normal(0, 0.5, table.shape).astype(np.float32)
+    tokens = rng.choice(words, 300)
+    slot, context = model.slots(tokens), (np.roll(tokens, 1), np.roll(tokens, 2))
+    expected, observed = ([np.zeros(t.shape) for t in model.tables] for _ in range(2))
+    for name in ("argsort", "lexsort", "unique"):
+        monkeypatch.setattr(np, name, lambda *a, **k: pytest.fail("tokens are sorted"))
+    model.tally(*context, slot, expected, observed)
+    monkeypatch.undo()
+    rows, cls, inside, p, q = model.forward(*context, slot)
+    for k, (guess, true) in enumerate([(p, cls)] * 3 + [(q, inside)] * 2):
+        plain_e, plain_o = np.zeros(expected[k].shape), np.zeros(expected[k].shape)
+        for i, row in enumerate(rows[k]):
+            plain_e[row] += guess[i]
+            plain_o[row, true[i]] += 1
+        assert np.allclose(expected[k], plain_e) and (observed[k] == plain_o).all()
+
+
+def test_shares_of_logits_near_and_far_from_zero():
+    for scale in (1, 70, 5000):
+        logits = np.random.default_rng(scale).normal(0, scale, (40, 32)).astype(np.float32)
+        e = np.exp(logits.astype(float) - logits.max(1, keepdims=True))
+        assert np.allclose(softmax(logits), e / e.sum(1, keepdims=True), rtol=1e-4, atol=1e-7)
+    assert softmax(np.zeros((0, 32), np.float32)).shape == (0, 32)
+
+
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
 
